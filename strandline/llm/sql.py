@@ -12,3 +12,28 @@ w AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY poin
              row_number() OVER (PARTITION BY text_sha256 ORDER BY points DESC, doc_id) AS nth FROM k)
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM w
 """
+
+ORACLES["op6_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+tri AS (SELECT r, generate_subscripts(ws, 1) AS i, unnest(ws) AS a FROM w),
+win AS (SELECT r, i, a, lead(a) OVER p AS b, lead(a, 2) OVER p AS c FROM tri WINDOW p AS (PARTITION BY r ORDER BY i)),
+cnt AS (SELECT r, i, c IS NOT NULL AND count(*) OVER (PARTITION BY r, a, b, c) > 1 AS hit FROM win),
+cov AS (SELECT r, hit OR coalesce(lag(hit) OVER p, FALSE) OR coalesce(lag(hit, 2) OVER p, FALSE) AS hit FROM cnt WINDOW p AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT r, count(*) FILTER (WHERE hit) AS n_repeat_words FROM cov GROUP BY r),
+ln AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+ok AS (SELECT r, source, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+nl AS (SELECT r, source, t, line, array_to_string(lw, ' ') AS norm, len(lw) AS words FROM ok),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM nl GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
+freq AS (SELECT nl.source, norm FROM nl GROUP BY nl.source, norm
+         HAVING count(DISTINCT t) > greatest(20, 0.01 * (SELECT h.docs FROM hosts h WHERE h.source IS NOT DISTINCT FROM nl.source))),
+gone AS (SELECT r, sum(words) AS n_frequent_words FROM nl JOIN freq ON nl.source IS NOT DISTINCT FROM freq.source AND nl.norm = freq.norm GROUP BY r),
+f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+             (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
+             coalesce(n_frequent_words, 0)::BIGINT AS n_frequent_words
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT *, NOT base_failed AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM b
+"""
