@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, simhash
+from . import byte_bpe, exact_dedup, quality_rules, simhash
 from .common import read_table
 
 
@@ -12,6 +14,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = byte_bpe.share(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    ids = byte_bpe.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text")
+    rows = byte_bpe.decode(ids, vocabulary)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
@@ -20,4 +35,4 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op6_quality_rules, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_byte_bpe, op6_quality_rules, op8_exact_dedup)}
