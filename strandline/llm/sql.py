@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import pii, url_filter
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op8_exact_dedup"] = r"""
@@ -37,3 +39,69 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
 SELECT *, NOT base_failed AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM b
 """
+
+
+def _values(terms: tuple[str, ...]) -> str:
+    return ", ".join(f"('{t}')" for t in terms)
+
+
+_RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)
+
+ORACLES["op5_url_filter"] = rf"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT r, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+             translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+rules(verdict, rule, rhost, rpath) AS (VALUES {_RULES}),
+fit AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h, rules
+        WHERE host <> '' AND (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r),
+strict(term) AS (VALUES {_values(url_filter.STRICT)}), soft(term) AS (VALUES {_values(url_filter.SOFT)}),
+hs AS (SELECT r, count(*) AS n FROM h, strict WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY r),
+hf AS (SELECT r, count(*) AS n FROM h, soft WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY r)
+SELECT page_id, host, path, fit.rule, coalesce(hs.n, 0)::INT AS n_strict, coalesce(hf.n, 0)::INT AS n_soft,
+       coalesce(fit.verdict, CASE WHEN coalesce(hs.n, 0) > 0 OR coalesce(hf.n, 0) >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit USING (r) LEFT JOIN hs USING (r) LEFT JOIN hf USING (r)
+"""
+
+#: The base patterns as given; the operator's own are the same languages without look-behind and possessive repeats.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+}
+_LUHN = "list_sum([CASE WHEN k % 2 = 1 THEN x[k]::INT ELSE x[k]::INT * 2 - CASE WHEN x[k]::INT > 4 THEN 9 ELSE 0 END END FOR k IN range(1, len(x) + 1)]) % 10 = 0"
+_MOD97 = """list_reduce([c::BIGINT FOR c IN string_split(array_to_string([CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END
+    FOR c IN string_split(substr(v, 5) || substr(v, 1, 4), '')], ''), '')], lambda a, x: (a * 10 + x) % 97) = 1"""
+_CHECKS = {
+    "ip": "list_max([coalesce(TRY_CAST(q AS BIGINT), 256) FOR q IN string_split(v, '.')]) <= 255",
+    "card": "length(d) BETWEEN 14 AND 19 AND " + _LUHN.replace("x[k]", "string_split(reverse(d), '')[k]").replace("len(x)", "length(d)"),
+    "phone": "length(d) BETWEEN 10 AND 15",
+    "iban": _MOD97,
+    "ssn": "NOT regexp_matches(v, '^(000|666|9)') AND substr(v, 5, 2) <> '00' AND substr(v, 8, 4) <> '0000'",
+}
+
+
+def _kind_sql(n: int, k: pii.Kind) -> str:
+    pattern = _PLAIN.get(k.name, k.pattern)
+    near = f"substr(t, greatest(s - {pii.BEFORE}, 0) + 1, s - greatest(s - {pii.BEFORE}, 0)) || chr(10) || substr(t, s + length(v) + 1, {pii.AFTER})"
+    near = f"translate({near}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+a{n} AS (SELECT r, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d),
+b{n} AS (SELECT r, t, unnest(range(1, len(m) + 1)) AS i, m, g FROM a{n} WHERE len(m) > 0),
+c{n} AS (SELECT r, t, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS d, (list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0))::BIGINT AS s FROM b{n}),
+k{n} AS (SELECT r, s, s + length(v) AS e, {n} AS kind, '{k.name}' AS name, least(100, {k.prior} + CASE WHEN regexp_matches({near}, '{k.words}') THEN {pii.CONTEXT} ELSE 0 END) AS score
+         FROM c{n} WHERE {_CHECKS.get(k.name, 'TRUE')}){','}"""
+
+
+ORACLES["op9_pii"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+{''.join(_kind_sql(n, k) for n, k in enumerate(pii.KINDS))}
+al AS ({' UNION ALL '.join(f'SELECT * FROM k{n}' + ('' if k.base else f' WHERE score >= {pii.ACCEPT}') for n, k in enumerate(pii.KINDS))}),
+f AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+             string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE kind < 4) AS base,
+             string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
+             string_agg(name || ':' || score, ',' ORDER BY s, kind) AS scores FROM al GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM d LEFT JOIN f USING (r)
+"""
