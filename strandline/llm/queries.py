@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, mixing, pii, quality_rules, sharding, simhash, url_filter
+from . import byte_bpe, byte_cnn, exact_dedup, maxent_lm, mixing, pii, quality_rules, sharding, simhash, url_filter
 from .common import read_table
 
 
@@ -31,6 +31,11 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return byte_cnn.classify(read_table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
@@ -39,6 +44,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read_table(spark, sf_dir, "documents"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -55,4 +64,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op5_url_filter, op6_quality_rules, op8_exact_dedup, op9_pii, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_simhash, op3_byte_bpe, op4_byte_cnn, op5_url_filter, op6_quality_rules, op7_maxent_lm, op8_exact_dedup, op9_pii, op10_sharding)}
