@@ -33,7 +33,7 @@ def contract_for(tag: Column) -> Column:
     """``current`` for snapshots from CONTRACT_FROM on, else ``legacy``; a tag without a date is an error."""
     digits = F.regexp_extract(tag, "([0-9]{4})-?([0-9]{2})(?:-?([0-9]{2}))?", 0)
     flat = F.rpad(F.replace(digits, F.lit("-"), F.lit("")), 8, "01")
-    day = F.try_to_date(flat, "yyyyMMdd")
+    day = F.when(digits != "", F.try_to_date(flat, "yyyyMMdd"))
     return F.when(day.isNull(), F.raise_error(F.concat(F.lit("no date in "), tag)).cast("string")).when(day >= F.lit(CONTRACT_FROM).cast("date"), "current").otherwise("legacy")
 
 

@@ -72,7 +72,7 @@ def parse_blocks(raw: DataFrame) -> DataFrame:
 
 def field(name: str, fields: str = "fields") -> Column:
     """Last value of a field in a block."""
-    return F.element_at(F.transform(F.filter(fields, lambda x: x["key"] == name), lambda x: x["value"]), -1)
+    return F.try_element_at(F.transform(F.filter(fields, lambda x: x["key"] == name), lambda x: x["value"]), F.lit(-1))
 
 
 def values(pattern: str, fields: str = "fields") -> Column:
