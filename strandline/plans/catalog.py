@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import texts, urls
-from strandline.operators import crawl, quality, relational, routing
+from strandline.operators import crawl, quality, registry, relational, routing
 from strandline.plans import website
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -521,3 +521,80 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 def job_states(spark: SparkSession, d: str) -> DataFrame:
     """The latest state of an event-sourced table."""
     return table(spark, d, "events").groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.max("ts").alias("ts"))
+
+
+# Around the registry
+
+
+@query("""
+WITH r AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey, 'forced' AS v FROM customer WHERE c_custkey % 9 = 0)
+SELECT coalesce(f.c_custkey, r.c_custkey) AS c_custkey, coalesce(f.v, r.v) AS domain FROM r FULL JOIN f ON r.c_custkey = f.c_custkey""")
+def manual_overrides(spark: SparkSession, d: str) -> DataFrame:
+    """Rewritten, then forced values."""
+    c = table(spark, d, "customer")
+    rewrites = spark.createDataFrame([("BUILDING", "CONSTRUCTION")], "from string, to string")
+    forced = c.where("c_custkey % 9 = 0").select("c_custkey", F.lit("forced").alias("domain"))
+    return registry.apply_overrides(c.where("c_custkey % 2 = 0").select("c_custkey", F.col("c_mktsegment").alias("domain")), "c_custkey", "domain", rewrites, forced)
+
+
+@query("""
+WITH l AS (SELECT c_custkey AS s, min(c_custkey // 2) AS t FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1), a AS (SELECT c_custkey, coalesce(t, c_custkey) AS e, (t IS NOT NULL)::INT AS h FROM customer LEFT JOIN l ON c_custkey = s),
+b AS (SELECT c_custkey, coalesce(t, e) AS e, h + (t IS NOT NULL)::INT AS h FROM a LEFT JOIN l ON e = s), c AS (SELECT c_custkey, coalesce(t, e) AS e, h + (t IS NOT NULL)::INT AS h FROM b LEFT JOIN l ON e = s)
+SELECT c_custkey, coalesce(t, e) AS "end", h + (t IS NOT NULL)::INT AS hops FROM c LEFT JOIN l ON e = s""")
+def redirect_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Ends of chains of at most four hops."""
+    c = table(spark, d, "customer").select("c_custkey")
+    links = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s"), F.expr("c_custkey div 2").alias("t"))
+    return registry.follow(c, "c_custkey", links, "s", "t")
+
+
+@query("SELECT count(*) AS targets, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)) AS covered, round(100.0 * covered / targets, 2) AS percent FROM customer")
+def coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How many targets were reached."""
+    found = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    return registry.coverage(table(spark, d, "customer"), found, "c_custkey")
+
+
+@query("SELECT p_type, count(*) AS n FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 200 = 0) GROUP BY 1")
+def unknown_labels(spark: SparkSession, d: str) -> DataFrame:
+    """Labels outside the taxonomy."""
+    part = table(spark, d, "part").select("p_partkey", "p_type")
+    return registry.unknown_labels(part, "p_type", part.where("p_partkey % 200 = 0"))
+
+
+@query("SELECT s_nationkey, array_to_string(list_sort(list(DISTINCT s_suppkey)), ',') AS keys FROM supplier GROUP BY 1")
+def inverted_index(spark: SparkSession, d: str) -> DataFrame:
+    """Keys by value."""
+    return registry.inverted(table(spark, d, "supplier"), "s_suppkey", "s_nationkey").select("s_nationkey", F.array_join(F.col("keys").cast("array<string>"), ",").alias("keys"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), l AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1)
+SELECT o_custkey, round(v, 4) AS v FROM s UNION ALL SELECT o_custkey, round(v, 4) FROM l WHERE o_custkey NOT IN (SELECT o_custkey FROM s)""")
+def log_recovery(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot, and the log where it has nothing."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("v"))
+    snapshot = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("v").alias("v"))
+    return registry.recover_log(snapshot, orders, "o_custkey", "o_orderkey").withColumn("v", F.round("v", 4))
+
+
+@query("SELECT p_brand, arg_max(p_name, p_partkey) AS p_name FROM part GROUP BY 1")
+def likely_open(spark: SparkSession, d: str) -> DataFrame:
+    """The last file of a group."""
+    return registry.likely_open(table(spark, d, "part"), "p_brand", "p_name", "p_partkey")
+
+
+@query("""
+SELECT doc_id, contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT + contains(lower(text), 'que')::INT AS score FROM documents""")
+def keyword_score(spark: SparkSession, d: str) -> DataFrame:
+    """keywords found in a text."""
+    return table(spark, d, "documents").select("doc_id", registry.keyword_score(F.lower("text"), ["the", "der", "que"]).alias("score"))
+
+
+@query("""
+SELECT o_orderkey, sha1(o_orderkey::VARCHAR || '|' || o_orderstatus) AS cache_key, o_orderdate::DATE::VARCHAR AS day, CASE WHEN o_orderstatus = 'F' THEN 'x' END AS note FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2)""")
+def cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """J06, J17, F37, F38, O-08: requests not yet answered, by a content hash."""
+    orders, done = table(spark, d, "orders"), table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    missing = orders.join(done, "o_orderkey", "left_anti")
+    return missing.select("o_orderkey", F.sha1(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus")).alias("cache_key"), F.to_date("o_orderdate").cast("string").alias("day"), F.when(F.col("o_orderstatus") == "F", "x").alias("note"))
