@@ -144,3 +144,23 @@ def test_prices(spark):
     for bad in (float("nan"), float("inf"), -1.0):
         with pytest.raises(Exception, match="price"):
             routing.resolve_prices(models, price(("a", bad, 1.0)), price(), None).collect()
+
+
+def test_registry_rules(spark):
+    from strandline.operators import registry
+
+    frame = spark.createDataFrame
+    assert [r.d for r in registry.drop_listed(frame([("gmail.com",), ("a.org",), (None,)], "d string"), "d").collect()] == ["a.org", None]
+    pairs = frame([("n", "", "d"), ("n", None, "d"), (None, None, None)], "a string, o string, d string").select(registry.name_pair(F.col("a"), F.col("o"), F.col("d")).alias("p"))
+    assert [tuple(r.p) for r in pairs.collect()] == [("n", ""), ("n", "d"), ("", "")]
+    parts = [frame([("1", "a", "o", "d"), ("2", "b", "o", "d")], "asn string, as_name string, org string, descr string"), frame([("1", "z", None, "d")], "asn string, as_name string, org string, descr string")]
+    assert {r.asn: (r.as_name, r.org) for r in registry.identities(parts).collect()} == {"1": ("z", None), "2": ("b", "o")}
+    orgs = frame([("ASN", " as1 ", "org-1"), ("asn", "AS2", "X@AUT-AS"), ("NET", "AS3", "ORG-3")], "type string, asn string, org string")
+    assert [tuple(r) for r in registry.organisation_handles(orgs).collect()] == [("1", "ORG-1")]
+    tags = frame([("2026-01-01", True, True), ("2026-03-01", True, True), ("2026-06-01", True, False), ("2026-09-01", True, True)], "tag string, has_mapping boolean, has_class boolean")
+    assert registry.previous_pair(tags, "tag", "2026-09-01").first()[0] == "2026-03-01" and registry.latest_before(tags, "tag", "2026-01-01").first()[0] is None
+    maps = frame([({"a": "1", "b": "2"},)], "m map<string,string>").select(registry.probe_map(F.col("m"), [F.lit("x"), F.lit("b"), F.lit("a")]).alias("v"))
+    assert maps.first().v == "2"
+    prompts, seeds = frame([("p", "1", "s"), ("q", "9", "t")], "prompt string, asn string, seed string"), frame([("1", "s"), ("2", "s")], "asn string, seed string")
+    assert {r.prompt: r["keys"] for r in registry.seed_fan_out(prompts, "prompt", "asn", seeds, "seed").collect()} == {"p": ["1", "2"], "q": ["9"]}
+    assert values(spark, ["Éa Ñ"], lambda c: registry.fold_accents(c, {"é": "e", "ñ": "n"})) == ["ea n"]
