@@ -36,6 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +47,9 @@ from .common import free_name
 
 LEAF = 6
 SHORT = 24
-UNITS, LEAVES, PAIRS = 250_000, 200_000, 500_000
+UNITS, LEAVES, PAIRS = 200_000, 200_000, 300_000
 JOIN_IDS = 4096
+ROWS = 512
 _SPACE_BEFORE = re.compile(r"\s ").search
 
 
@@ -61,7 +63,9 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pieces = ranks, regex.compile(pattern).findall
-        self.bytes_of = {r: b for b, r in ranks.items()}
+        self.bytes_of: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+        for b, r in ranks.items():
+            self.bytes_of[r] = b
         self.stable: dict[tuple[int, int], bool] = {}
         self.leaves: dict[bytes, list[int]] = {}
         self.young: dict[str, tuple[int, ...]] = {}
@@ -108,7 +112,7 @@ class Codec:
         if held is None:
             if len(self.stable) >= PAIRS:
                 self.stable.clear()
-            held = self.stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            held = self.stable[a, b] = (self.leaves.get(part := self.bytes_of[a] + self.bytes_of[b]) or self.leaf(part)) == [a, b]
         return held
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -117,7 +121,8 @@ class Codec:
         k = 1
         while True:
             a, b = left[-k:], right[:k]
-            window = self.merge(b"".join(map(self.bytes_of.__getitem__, a + b)))
+            part = b"".join([self.bytes_of[i] for i in a + b])
+            window = self.leaves.get(part) or self.leaf(part)
             if (len(left) <= k or self.is_stable(left[-k - 1], window[0])) and (len(right) <= k or self.is_stable(window[-1], right[k])):
                 return left[:-k] + window + right[k:]
             k *= 2
@@ -126,11 +131,15 @@ class Codec:
         if len(part) > LEAF:
             half = len(part) // 2
             return self.join(self.reduce(part[:half]), self.reduce(part[half:]))
-        held = self.leaves.get(part)
-        if held is None:
-            if len(self.leaves) >= LEAVES:
-                self.leaves.clear()
-            held = self.leaves[part] = self.merge(part)
+        return self.leaves.get(part) or self.leaf(part)
+
+    def leaf(self, part: bytes) -> list[int]:
+        """The encoding of bytes merged directly, held if short: leaves, pairs and windows come back often."""
+        if len(part) > SHORT:
+            return self.merge(part)
+        if len(self.leaves) >= LEAVES:
+            self.leaves.clear()
+        held = self.leaves[part] = self.merge(part)
         return held
 
     def piece(self, part: bytes) -> list[int]:
@@ -181,9 +190,13 @@ class Codec:
             half = len(ids) // 2
             return self.decode(ids[:half]) + self.decode(ids[half:])
         try:
-            return b"".join([self.bytes_of[i] for i in ids])
-        except KeyError as e:
-            raise ValueError(f"no token has id {e}") from None
+            if ids and min(ids) >= 0:
+                return b"".join([self.bytes_of[i] for i in ids])
+            if not ids:
+                return b""
+        except (IndexError, TypeError):
+            pass
+        raise ValueError("an id has no token")
 
 
 _codecs: dict[int, Codec] = {}
@@ -197,6 +210,13 @@ def _codec(key: int, shared: Broadcast) -> Codec:
     return _codecs[key]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS`` rows, so that what is held as Python objects stays small."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+
+
 def share(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """The vocabulary of at most a few MB, read on the driver; executors need not see ``path``."""
     return spark.sparkContext.broadcast((read_ranks(path), pattern))
@@ -208,14 +228,14 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, vocabulary)
-        for batch in batches:
+        for part in _parts(batches):
             flat, ends = array("i"), [0]
-            for body in batch.column(at).to_pylist():
+            for body in part.column(at).to_pylist():
                 if body:
                     codec.encode(body, flat)
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*own, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, ids], [*own, name])
 
     own = [f"c{k}" for k in range(len(docs.columns))]
     flat = docs.toDF(*own).withColumn(own[at], F.col(own[at]).cast("string"))
@@ -228,9 +248,11 @@ def decode(rows: DataFrame, vocabulary: Broadcast, ids: str = "ids", out: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, vocabulary)
-        for batch in batches:
-            texts = [codec.decode(x or []) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*own, name])
+        for part in _parts(batches):
+            flat = part.column(at).flatten().to_pylist() if part.column(at).flatten().null_count else part.column(at).flatten().to_numpy().tolist()
+            ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part.column(at)), 0))).tolist()
+            texts = [codec.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary())], [*own, name])
 
     own = [f"c{k}" for k in range(len(rows.columns))]
     flat = rows.toDF(*own)
