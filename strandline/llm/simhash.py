@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import free_name, materialize, text_bytes
+from .common import free_name, materialize, shuffle_partitions, text_bytes
 from .components import components
 
 SEED = 42
@@ -43,7 +43,7 @@ SHINGLE = 3
 MAX_BITS = 2
 HALF = 1
 SAMPLE = 65_536
-SHARD_POINTS = 4_096
+SHARD_POINTS = (4_096, 1_000_000)
 BLOCK = 384
 DENSE = 0.93
 NO_ID = (1 << 63) - 1
@@ -215,9 +215,15 @@ def _solve(table: pa.Table) -> pa.Table:
     return pa.table({"u": points[rows].view(np.int64), "v": points[labels[rows]].view(np.int64)})
 
 
-def links(prints: DataFrame, n: int, shard_points: int = SHARD_POINTS, sample: int = SAMPLE) -> DataFrame:
-    """``prints``: fp, distinct, ``n`` of them. Returns u, v: links whose components are those of all links."""
+def links(prints: DataFrame, n: int, shard_points: int | None = None, sample: int = SAMPLE) -> DataFrame:
+    """``prints``: fp, distinct, ``n`` of them. Returns u, v: links whose components are those of all links.
+
+    A point is sent to about (n / shard_points)^0.36 shards, so shards are as large as leaves two for each partition, up to a
+    million points of eight bytes.
+    """
     spark = prints.sparkSession
+    if shard_points is None:
+        shard_points = min(SHARD_POINTS[1], max(SHARD_POINTS[0], n // (2 * shuffle_partitions(spark))))
     every = max(1, -(-n // sample))
     taken = np.sort(np.asarray(prints.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow()["fp"]).view(np.uint64))
     tree = build(taken, max(16, shard_points * len(taken) // max(1, n)))
