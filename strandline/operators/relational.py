@@ -6,7 +6,7 @@ structs rather than windows where one row per key is wanted, so that they combin
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,11 +24,11 @@ def latest_by(df: DataFrame, keys: str | Sequence[str], newest: str, first: str)
     return best.select("best.*")
 
 
-def argmax_by(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The row of each key for which the tuple ``order`` is largest."""
-    keys = _cols(keys)
+def argmax_by(df: DataFrame, keys: str | Sequence[str], order: Sequence[Column], also: Mapping[str, Column] | None = None) -> DataFrame:
+    """The row of each key for which the tuple ``order`` is largest; ``also``: further aggregates of the key in the same pass."""
+    keys, more = _cols(keys), also or {}
     named = F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order)))
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), named).alias("best")).select("best.*")
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), named).alias("best"), *(c.alias(n) for n, c in more.items())).select("best.*", *more)
 
 
 def mode_first_seen(df: DataFrame, keys: str | Sequence[str], value: str, ordinal: str) -> DataFrame:

@@ -49,10 +49,10 @@ SELECT host, url AS landing_url, n_pages, n_bytes, rk::INT AS rank FROM (
 WHERE rk = 1""")
 def landing_pick(spark: SparkSession, d: str) -> DataFrame:
     """Each site's pages and bytes with its landing page."""
-    pages = pages_with_host(spark, d).withColumn("size", F.length("html"))
-    sites = crawl.winner_site(pages.withColumn("key", F.col("host")), "key", "host", "size").select("host", F.col("pages").alias("n_pages"), F.col("bytes").alias("n_bytes"))
-    first = relational.argmax_by(pages, "host", [urls.is_root_like(F.col("url")), F.col("size"), F.col("url"), F.col("page_id")])
-    return first.join(sites, "host").select("host", F.col("url").alias("landing_url"), "n_pages", "n_bytes", F.lit(1).alias("rank"))
+    pages = pages_with_host(spark, d).select("host", "url", "page_id", F.length("html").alias("size"))
+    order = [urls.is_root_like(F.col("url")), F.col("size"), F.col("url"), F.col("page_id")]
+    first = relational.argmax_by(pages, "host", order, {"n_pages": F.count("*"), "n_bytes": F.sum("size")})
+    return first.select("host", F.col("url").alias("landing_url"), "n_pages", "n_bytes", F.lit(1).alias("rank"))
 
 
 @query(f"""
