@@ -80,9 +80,9 @@ def classify(responses: DataFrame, text: str, refusal: str, taxonomy: dict[str,
 
 def request_body(model: Column, system: Column, prefix: Column, body: Column, cached: Column) -> Column:
     """JSON of a request: the user part in two pieces with a cache mark where the model family caches, else joined."""
-    message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    free = lambda x: F.parse_json(F.to_json(x))  # noqa: E731  parts differ in shape, so they are VARIANTs
+    message = lambda role, content: free(F.struct(F.lit(role).alias("role"), content.alias("content")))
     mark = F.struct(F.lit("text").alias("type"), prefix.alias("text"), F.struct(F.lit("ephemeral").alias("type")).alias("cache_control"))
     rest = F.struct(F.lit("text").alias("type"), body.alias("text"))
-    split = F.to_json(F.struct(model.alias("model"), F.array(F.to_json(message("developer", system)), F.to_json(F.struct(F.lit("user").alias("role"), F.struct(mark.alias("a"), rest.alias("b")).alias("content")))).alias("messages")))
-    flat = F.to_json(F.struct(model.alias("model"), F.array(message("developer", system), message("user", F.concat(prefix, body))).alias("messages")))
-    return F.when(cached, split).otherwise(flat)
+    whole = lambda user: F.to_json(F.struct(model.alias("model"), F.array(message("developer", system), message("user", user)).alias("messages")))
+    return F.when(cached, whole(F.array(free(mark), free(rest)))).otherwise(whole(F.concat(prefix, body)))
