@@ -52,11 +52,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table ``documents`` under ``sf_dir``."""
+    """The last stage's rows for the table ``documents`` under ``sf_dir``. A stage's table is deleted once the next is written."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    path_of = lambda k: f"{folder}/{k}-{STAGES[k][0]}"
     docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(path_of(k))
+        docs = spark.read.parquet(path_of(k))
+        if k:
+            old = spark._jvm.org.apache.hadoop.fs.Path(path_of(k - 1))
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
     return docs
