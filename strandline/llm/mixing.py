@@ -9,12 +9,15 @@
    documents with r > 0, and then r is cut off at 0. All documents share the K numbers of s, so a step is one aggregate
    of K residuals and K x K curvatures, and the rate of a document is a fold over the steps so far: nothing is kept per
    document, and the driver sees K-sized rows only. If the residual doesn't shrink, the step is halved.
-3. *Totals.* The total is by default the largest at which no domain has to be repeated: min over k of natural_k / weight_k.
+3. *Totals.* The total is by default the largest at which no wanted domain has to be repeated: min over the wanted k of
+   natural_k / weight_k. Unwanted domains don't size it: they are cut to weight_k x total where they have more, and stay as
+   they are where they have less, so a scarce unwanted domain costs no clean document. A total that is given holds for all.
 
 ``copies`` turns a rate into floor(rate + u), with u in [0, 1) from a seeded hash of the identifier, which keeps the expected
 total. Labels: doc_id, domain; repeated labels of a document: the largest name counts; unknown domains and null are ignored.
 Without any labelled document the posterior is uniform. Null and empty texts have no tokens; their rate follows their
-posterior. A domain that no document belongs to can't be reached and is left out of the default total.
+posterior. A domain without a row in the labelled sample can't be told apart or reached: it keeps the mass that posteriors
+give it (a softmax is never 0) and is left out of the default total. Without any labelled document all rates are 1.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ SEED = 42
 #: Target weights of the label table's domains.
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = (0.95, 0.04, 0.01)
+#: Domains whose weight is a ceiling.
+UNWANTED = ("poor", "toxic")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -56,6 +61,7 @@ class Classifier:
     scale: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
+    seen: np.ndarray | None = None  # labelled rows of each domain in the sample
 
     def features(self, raw: bytes) -> tuple[np.ndarray, int]:
         row = np.zeros(256 + len(self.words), np.float32)
@@ -118,7 +124,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...],
     got = sample.select("domain", text_bytes().alias("body")).mapInArrow(extract, "domain string, row binary").orderBy("domain", "row").toArrow()
     x = np.array([np.frombuffer(r, np.float32) for r in got["row"].to_pylist()]).reshape(got.num_rows, 256 + len(words))
     y = np.array([domains.index(d) for d in got["domain"].to_pylist()], int)
-    return _fit(x, y, len(domains), words)
+    model = _fit(x, y, len(domains), words)
+    model.seen = np.bincount(y, minlength=len(domains))
+    return model
 
 
 def _annotate(model: Classifier, names: list[str]):
@@ -157,19 +165,29 @@ def _totals(known: DataFrame, steps: list[np.ndarray], k: int) -> tuple[np.ndarr
     return np.array(values[:k]), h
 
 
-def fit_rates(known: DataFrame, weights: np.ndarray, total: float | None = None) -> list[np.ndarray]:
+def goals(now: np.ndarray, weights: np.ndarray, total: float | None = None, wanted: np.ndarray | None = None, labelled: np.ndarray | None = None) -> np.ndarray:
+    """Tokens that each domain is to have, of ``now`` expected ones; by default all domains are wanted and labelled."""
+    wanted = np.ones(len(now), bool) if wanted is None else wanted
+    labelled = np.ones(len(now), bool) if labelled is None else labelled
+    sizing = wanted & labelled & (weights > 0) & (now > 0)
+    if total is None:
+        goal = weights * (float((now[sizing] / weights[sizing]).min()) if sizing.any() else float(now.sum()))
+        goal = np.where(wanted, goal, np.minimum(goal, now))
+    else:
+        goal = weights * total
+    return np.where(labelled, goal, now)
+
+
+def fit_rates(known: DataFrame, weights: np.ndarray, total: float | None = None, wanted: np.ndarray | None = None, labelled: np.ndarray | None = None) -> list[np.ndarray]:
     """``known``: t, p, materialized. The steps whose fold is each document's rate."""
     k = len(weights)
     now, h = _totals(known, [], k)
     if not now.sum():
         return []
-    reached = (weights > 0) & (now > 0)
-    if total is None:
-        total = float((now[reached] / weights[reached]).min()) if reached.any() else float(now.sum())
-    goal, steps, length = weights * total, [], 1.0
+    goal, steps, length = goals(now, weights, total, wanted, labelled), [], 1.0
     for _ in range(ROUNDS):
         error = now - goal
-        if np.abs(error).sum() <= TOLERANCE * total:
+        if np.abs(error).sum() <= TOLERANCE * goal.sum():
             break
         step = length * np.linalg.solve(h + 1e-9 * max(np.trace(h), 1e-300) * np.eye(k), error)
         then, curve = _totals(known, [*steps, step], k)
@@ -191,7 +209,7 @@ def _mixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], weights
     rows = flat.select(*own, text_bytes(own[docs.columns.index(text)]).alias("body"))
     extra = [StructField("t", LongType()), StructField("p", ArrayType(DoubleType()))]
     known = materialize(rows.select("body").mapInArrow(_annotate(model, ["t", "p"]), StructType(extra)))
-    steps = fit_rates(known, target, total)
+    steps = fit_rates(known, target, total, np.array([d not in UNWANTED for d in domains]), model.seen > 0)
     return rows.mapInArrow(_annotate(model, [*own, "t", "p"]), StructType([*flat.schema.fields, *extra])), own, _rate("p", steps)
 
 

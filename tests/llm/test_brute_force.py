@@ -288,6 +288,24 @@ def test_copies_follow_rates(spark):
     assert all(abs(r.m - (0.3 + r.k)) < 0.02 for r in got)
 
 
+@pytest.mark.parametrize("toxic", [0, 3])
+def test_scarce_unwanted_domain_costs_no_clean_rows(spark, toxic):
+    """No poor row at all, and no toxic one or 0.2 %."""
+    rng = random.Random(3)
+    text = lambda k: " ".join(rng.choices([f"foul{j}xx" for j in range(9)] if k < toxic else [f"plain{j}" for j in range(40)], k=60))
+    rows = spark.createDataFrame([(k, text(k)) for k in range(1500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "toxic" if k < toxic else "good") for k in range(1500)], "doc_id long, domain string")
+    kept = [r.doc_id for r in mixing.mix(rows, labels).select("doc_id").collect()]
+    assert len({d for d in kept if d >= toxic}) >= 0.97 * (1500 - toxic) and len(kept) <= 1.03 * 1500
+
+
+def test_common_unwanted_domains_are_cut():
+    now, w, wanted = np.array([810.0, 70, 120]), np.array(mixing.TARGETS), np.array([True, False, False])
+    assert mixing.goals(now, w, None, wanted) == pytest.approx(w * 810 / 0.95)
+    assert mixing.goals(np.array([990.0, 8, 2]), w, None, wanted) == pytest.approx([990, 8, 2])
+    assert mixing.goals(now, w, 500.0, wanted) == pytest.approx(w * 500)
+
+
 # quality rules, personal data, sharding
 
 
