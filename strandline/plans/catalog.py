@@ -471,12 +471,11 @@ def props_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names closest to a customer's among its block (nation and last digit of the key), ties included."""
+    """Names closest to a customer's among the suppliers of its nation, ties included."""
     from strandline.functions.fuzzy import best_names
 
-    suppliers = table(spark, d, "supplier").select("s_nationkey", "s_name", (F.col("s_suppkey") % 10).alias("digit"))
-    block = (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 10 == F.col("digit"))
-    pairs = table(spark, d, "customer").join(suppliers, block).select("c_custkey", "s_name", "c_name", "c_mktsegment")
+    suppliers = table(spark, d, "supplier").select("s_nationkey", "s_name")
+    pairs = table(spark, d, "customer").join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_name", "c_name", "c_mktsegment")
     return best_names(pairs, "c_custkey", "s_name", "c_name", "c_mktsegment").select("c_custkey", "s_name", F.round("score", 6).alias("score"))
 
 
