@@ -240,12 +240,12 @@ def links(prints: DataFrame, n: int, shard_points: int | None = None, sample: in
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """``rows``: doc_id, fp, materialized. Adds component_id, the smallest doc_id of the class."""
+    """``rows``: doc_id, fp, materialized. Adds root, a fingerprint that names the class, and component_id, its smallest doc_id."""
     prints = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     stars = components(links(prints, prints.count()))
     rooted = prints.join(stars.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -258,8 +258,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the row of the smallest identifier of each class, all columns unchanged.
 
-    Rows to drop are found by identifier. Identifiers that occur more than once are told apart by their fingerprint, and of
-    rows that agree in both one stays.
+    Rows to drop are found by identifier. Identifiers that occur more than once (null counts as one) are told apart by their
+    fingerprint: of each class whose smallest identifier that is, the rows with the class's smallest fingerprint under it are
+    meant, and of rows that agree in both one stays.
     """
     rows = materialize(fingerprints(docs, doc_id, text))
     found = materialize(classes(rows))
@@ -273,6 +274,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     again = docs.join(repeated, ident == F.col(key), "left_semi")
     own = [f"c{k}" for k in range(len(docs.columns))]
     flat = again.toDF(*own).select(*own, F.coalesce(F.col(own[docs.columns.index(doc_id)]).cast("long"), F.lit(NO_ID)).alias(key), F.pandas_udf(_each_fingerprint, LongType())(text_bytes(own[docs.columns.index(text)])).alias(twin))
-    best = found.where("doc_id = component_id").select(F.col("doc_id").alias(key), F.col("fp").alias(twin)).distinct()
-    return kept.union(flat.join(best, [key, twin], "left_semi").dropDuplicates([key]).select(*own).toDF(*docs.columns))
+    best = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias(key), F.col("m.fp").alias(twin))
+    return kept.union(flat.join(best, [key, twin], "left_semi").dropDuplicates([key, twin]).select(*own).toDF(*docs.columns))
 

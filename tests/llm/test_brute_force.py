@@ -113,6 +113,13 @@ def test_simhash(spark, docs):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(want.values()))
 
 
+def test_reused_and_null_identifiers_lose_no_class(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(1, text(0)), (1, text(1)), (1, text(1)), (2, text(2)), (2, text(0)), (3, text(3)), (4, text(3))] + [(None, text(k)) for k in (4, 5, 6, 6, 3)]
+    out = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in out) == sorted([(1, text(0)), (1, text(1)), (2, text(2)), (3, text(3))] + [(0, text(k)) for k in (4, 5, 6)])
+
+
 @pytest.mark.parametrize("kind", ["random", "pairs", "ball", "count"])
 def test_tree_loses_no_link(spark, kind):
     rng = np.random.default_rng(5)
