@@ -18,7 +18,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_good(docs)
+    return quality_rules.clean_good(docs, chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,8 +3,9 @@
 One pass over the texts counts the base figures and hashes each line (its words, A-Z lower-cased, joined by single spaces;
 XXH3, 128 bits). Lines are then counted per host by the distinct documents that have them, where documents with equal texts
 count once, so that copies of a page don't make its own lines look like a template. A line is *frequent* on a host when more
-than ``max(MIN_DOCS, SHARE x distinct documents of the host)`` documents have it. Frequent lines are removed, and a document
-that keeps less than ``LEFT`` of its words is depleted and rejected, as is one that fails the base rules.
+than ``max(MIN_DOCS, SHARE x distinct documents of the host)`` documents have it. A document that keeps less than ``LEFT`` of
+its words without its frequent lines is depleted and rejected, as is one that fails the base rules. ``judge`` counts,
+``clean_good`` returns the accepted texts without their frequent lines, and ``keep_good`` returns them as they were.
 
 The counts are aggregates with partial sums, so a line of half the corpus costs one row a task. Lines meet the frequent ones
 in an equi-join whose small side holds frequent lines only; Spark splits its skewed keys.
@@ -19,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -88,9 +90,9 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, the base figures, base_failed, n_frequent_words (removed), kept."""
+    """One row per row of ``docs``: doc_id, the base figures, base_failed, n_frequent_words, kept."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), text_bytes(text).alias("body"))
-    return _judge(rows, min_docs, share, left).drop("host", "row")
+    return _judge(rows, min_docs, share, left).drop("host", "row", "frequent")
 
 
 def _judge(rows: DataFrame, min_docs: int, share: float, left: float) -> DataFrame:
@@ -101,7 +103,7 @@ def _judge(rows: DataFrame, min_docs: int, share: float, left: float) -> DataFra
     same_host = counts["host"].eqNullSafe(hosts["host"])
     frequent = counts.join(hosts, same_host).where(F.col("docs_with_line") > F.greatest(F.lit(float(min_docs)), share * F.col("docs"))).select(counts["host"].alias("on"), F.col("hash").alias("frequent"))
     lines = seen.select("row", "host", F.explode("lines").alias("line"))
-    removed = lines.join(frequent, F.col("host").eqNullSafe(F.col("on")) & (F.col("line.hash") == F.col("frequent"))).groupBy("row").agg(F.sum("line.words").alias("n_frequent_words"))
+    removed = lines.join(frequent, F.col("host").eqNullSafe(F.col("on")) & (F.col("line.hash") == F.col("frequent"))).groupBy("row").agg(F.sum("line.words").alias("n_frequent_words"), F.collect_list("frequent").alias("frequent"))
     out = seen.drop("lines", "text_hash").join(removed, "row", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     enough = F.col("n_words") - F.col("n_frequent_words") >= left * F.col("n_words")
@@ -129,6 +131,36 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     return kept.union(_by_text(again, docs, doc_id, text, host))
 
 
+def without_lines(raw: bytes, gone: set[bytes]) -> bytes:
+    """``raw`` without the lines whose hashes are given; all other bytes stay."""
+    return b"\n".join(line for line in raw.split(b"\n") if not (own := line.lower().split()) or xxhash.xxh3_128_digest(b" ".join(own)) not in gone)
+
+
+def _each_without(body: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([None if raw is None else without_lines(raw, set(lines)) for raw, lines in zip(body, gone)], dtype=object)
+
+
+def clean_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, left: float = LEFT, chars: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, their texts without frequent lines; ``chars`` names a column that has the text's length.
+
+    Verdict and lines depend on host and text alone. Rows that are rejected or have frequent lines are found by identifier,
+    host and SHA-256 of the text, so that neither copies nor null identifiers gather under one key; texts move once.
+    """
+    own = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index
+    flat = docs.toDF(*own)
+    ident, on, body = F.coalesce(F.col(own[at(doc_id)]).cast("string"), F.lit("")), F.col(own[at(host)]).cast("string"), text_bytes(own[at(text)])
+    judged = _judge(flat.select(ident.alias("doc_id"), F.sha2(body, 256).alias("sum"), on.alias("host"), body.alias("body")), min_docs, share, left)
+    touched = judged.where("not kept or frequent is not null").groupBy(F.col("doc_id").alias("i"), F.col("sum").alias("s"), F.col("host").alias("h")).agg(F.bool_and("kept").alias("ok"), F.first("frequent").alias("gone"))
+    rows = flat.join(touched, (ident == F.col("i")) & (F.sha2(body, 256) == F.col("s")) & on.eqNullSafe(F.col("h")), "left").where(F.coalesce("ok", F.lit(True)))
+    cleaned = F.pandas_udf(_each_without, BinaryType())(F.when(F.col("gone").isNotNull(), body), F.col("gone"))
+    rows = rows.select(*own, cleaned.alias("cleaned"))
+    new = {text: F.coalesce(F.col("cleaned").cast("string"), F.col(own[at(text)]))}
+    if chars:
+        new[chars] = F.when(F.col("cleaned").isNotNull(), F.length(F.col("cleaned").cast("string"))).otherwise(F.col(own[at(chars)])).cast(docs.schema[chars].dataType)
+    return rows.select(*(new.get(c, F.col(o)).alias(o) for c, o in zip(docs.columns, own))).toDF(*docs.columns)
+
+
 def _by_text(again: DataFrame, docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     own = [f"c{k}" for k in range(len(docs.columns))]
     at = docs.columns.index

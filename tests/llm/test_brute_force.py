@@ -331,6 +331,15 @@ def test_frequent_lines_deplete(spark):
     assert all(r.kept for r in quality_rules.judge(copies, min_docs=10).collect())
 
 
+def test_frequent_lines_leave_the_texts(spark, tmp_path):
+    own = lambda k: "\n\n".join(" ".join(f"own{k}p{i}w{j}" for j in range(40)) for i in range(2))
+    line = "Menu  of this\tsite"
+    rows = [(k % 100 or None, f"{line}\n{own(k)}\nmenu OF this site" if k < 60 else own(k), "en", "h" if k < 130 else None, 7) for k in range(160)] + [(500, "short " + line, "en", "h", 9), (501, None, "en", "h", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.text, r.n_chars) for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect())
+    assert got == sorted((own(k), len(own(k)) if k < 60 else 7) for k in range(160))
+
+
 def test_added_kinds(spark):
     texts = ["GB82WEST12345698765432", "GB82WEST12345698765433", "ssn 123-45-6789", "123-45-6789", "my social 000-12-3456", "AKIA" + "A" * 16, 'token = "abcdefgh1"', "a" * 40_000 + "@b" + ".c" * 4000]
     got = pii.digest(pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).orderBy("doc_id").collect()
