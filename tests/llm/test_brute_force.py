@@ -259,17 +259,83 @@ def test_base_score(spark, docs):
         assert sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
-def test_model_is_a_distribution():
-    rng = np.random.default_rng(3)
-    counts = np.sort(rng.integers(1, 500, 1500))[::-1].astype(np.int64)
-    v = maxent_lm.Vocabulary([f"w{k}".encode() for k in range(1500)], counts, int(counts.sum()), 1500)
-    weights = rng.standard_normal((maxent_lm.ROWS, maxent_lm._COLS)).astype(np.float32)
-    for one, two in ((3, 9), (1500, maxent_lm._START)):
-        ids = np.arange(maxent_lm._MODEL)
-        inside = np.exp(maxent_lm.block(weights, v, ids, np.full(len(ids), one), np.full(len(ids), two), False)).sum()
-        last = float(np.exp(maxent_lm.block(weights, v, np.array([-1]), np.array([one]), np.array([two]), False))[0])
-        rest = last * ((counts[maxent_lm._MODEL:] + 1).sum() + 1) / v.rest
-        assert inside + rest == pytest.approx(1, abs=1e-4)
+def _plain_hash(x, salt):
+    return ((x + salt) * 0x9E3779B97F4A7C15 % 2**64) >> 33
+
+
+def _plain_factor(bias, rows, weights, branch):
+    z = [float(b) + sum(float(weights[r][k]) for r in rows) for k, b in enumerate(bias)]
+    top = max(z)
+    return z[branch] - top - math.log(sum(math.exp(x - top) for x in z))
+
+
+def _plain_score(m, v, place, words, count):
+    """Base-10 logarithm of a text's probability, token by token from the model's arrays."""
+    n, r, total = len(v.listed), m.shape.rows, 0.0
+    suffix = lambda w: int.from_bytes(w[-2:].rjust(2), "big") * 40503 % 65521 % maxent_lm.SUFFIXES
+    at = [place[w] if w in place else n + suffix(w) for w in words]
+    ctx = [int(m.context[-1])] * 2 + [int(m.context[t]) for t in at]
+    for k, t in enumerate(at):
+        one, two, g, b = ctx[k + 1], ctx[k], int(m.group[t]), int(m.block[t])
+        total += _plain_factor(m.group_bias, [_plain_hash(one, 1) % r, _plain_hash(two, 2) % r + r, _plain_hash(one * 131_071 + two, 3) % r + 2 * r], m.weights, g)
+        total += _plain_factor(m.block_bias[g], [_plain_hash(one * 131_071 + g, 3) % r + 3 * r, _plain_hash(two * 131_071 + g, 4) % r + 4 * r], m.weights, b)
+        if m.place[t] >= 0:
+            node = g * m.shape.blocks + b
+            total += _plain_factor(m.word_bias[g, b], [_plain_hash(one * 131_071 + node, 5) % r + 5 * r, _plain_hash(two * 131_071 + node, 6) % r + 6 * r], m.weights, int(m.place[t]))
+        else:
+            total += math.log((count[words[k]] + 1) / m.tail_mass[g])
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("listed", [1 << 20, 300])
+def test_score_equals_plain_sums(spark, docs, listed):
+    _, counts, shared, _, m = maxent_lm.prepare(docs, "doc_id", "text", listed)
+    v, count = shared.value, Counter({bytes(r.token): r.n for r in counts.collect()})
+    place = {w: k for k, w in enumerate(v.listed)}
+    got = {r.doc_id: r.score for r in maxent_lm.score_documents(docs, listed=listed).collect()}
+    for r in sorted(docs.collect(), key=lambda r: r.n_chars)[::9]:
+        assert got[r.doc_id] == pytest.approx(_plain_score(m, v, place, (r.text or "").encode().lower().split() + [b""], count), rel=1e-5), r.doc_id
+    known = np.arange(len(v.listed))
+    for one, two in ((3, 9), (int(m.context[-1]), int(m.context[-1])), (17, int(m.context[-2]))):
+        p = np.exp(maxent_lm.log_probability(m, known, np.full(len(known), one), np.full(len(known), two)))
+        share = np.where(m.place[known] < 0, (v.counts + 1) / m.tail_mass[m.group[known]], 1)
+        rest = sum(  # unlisted and unseen tokens by suffix, and the word that stands for all unseen ones of a group
+            np.exp(maxent_lm.log_probability(m, np.array([t]), np.array([one]), np.array([two])))[0] * (v.unlisted[t - len(v.listed)]) / m.tail_mass[m.group[t]]
+            for t in range(len(v.listed), len(v.listed) + maxent_lm.SUFFIXES)
+        )
+        unseen = sum(np.exp(_plain_group_and_tail(m, g, one, two)) / m.tail_mass[g] for g in range(m.shape.groups))
+        assert float((p * share).sum() + rest + unseen) == pytest.approx(1, abs=1e-4)
+
+
+def _plain_group_and_tail(m, g, one, two):
+    r = m.shape.rows
+    a = _plain_factor(m.group_bias, [_plain_hash(one, 1) % r, _plain_hash(two, 2) % r + r, _plain_hash(one * 131_071 + two, 3) % r + 2 * r], m.weights, g)
+    return a + _plain_factor(m.block_bias[g], [_plain_hash(one * 131_071 + g, 3) % r + 3 * r, _plain_hash(two * 131_071 + g, 4) % r + 4 * r], m.weights, m.shape.blocks)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    runs = [{r.doc_id: (r.held_out, r.n_tokens, r.base_score, r.score) for r in maxent_lm.score_documents(docs.repartition(n)).collect()} for n in (1, 32, 200)]
+    for other in runs[1:]:
+        assert max(abs(other[d][3] - x[3]) for d, x in runs[0].items()) < 1e-6
+    held = [x for x in runs[0].values() if x[0]]
+    assert sum(x[3] - x[2] for x in held) / sum(x[1] for x in held) >= 0.1
+
+
+def test_gradient_is_expected_minus_observed(spark, docs):
+    _, _, shared, _, m = maxent_lm.prepare(docs, "doc_id", "text", 1 << 20)
+    v = shared.value
+    s = maxent_lm.encode([b"the of and the in", b"der die und"], {w: k for k, w in enumerate(v.listed)}, m.context)
+    g = np.zeros((len(m.weights), maxent_lm.WIDTH + 2))
+    maxent_lm.gradient(m, s.at, s.one, s.two, g)
+    m.weights = m.weights.astype(np.float64)
+    for row, col in zip(*np.nonzero(np.abs(g[:, :-1]) > 0.05 * maxent_lm.UNIT)):
+        loss = []
+        for step in (1e-4, -2e-4):
+            m.weights[row, col] += step
+            loss.append(-maxent_lm.log_probability(m, s.at, s.one, s.two).sum())
+        m.weights[row, col] += 1e-4
+        assert g[row, col] / maxent_lm.UNIT == pytest.approx((loss[0] - loss[1]) / 2e-4, abs=1e-3)
 
 
 # mixing
