@@ -66,9 +66,62 @@ def test_memtables_flush_sorted():
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array([str(k % 20).encode() for k in range(50)])], ["doc_id", "body"])
-    runs = list(exact_dedup.memtables(32, 8)(iter([batch])))
-    assert len(runs) > 1 and all((d := r.column(0).to_pylist()) == sorted(d) for r in runs)
-    assert sum(sum(r.column(3).to_pylist()) for r in runs) == 50
+    runs = list(exact_dedup.memtables(32, pa.int64(), 4, 8)(iter([batch])))
+    assert len(runs) > 1 and all((d := r.column(1).to_pylist()) == sorted(d) and (s := r.column(0).to_pylist()) == sorted(s) for r in runs)
+    assert sum(sum(r.column(4).to_pylist()) for r in runs) == 50
+
+
+def test_levels_merge(spark):
+    """Compaction of two batches equals that of all rows; each shard is one sorted run."""
+    rows = [(k, f"text {k % 70}" + " " * (k % 3)) for k in range(400)]
+    frame = lambda part: spark.createDataFrame(part, "doc_id long, body string").withColumn("body", F.col("body").cast("binary")).repartition(3)
+    whole = exact_dedup.compact(exact_dedup.flush_runs(frame(rows), 32, 4, 16), 4)
+    half = exact_dedup.compact(exact_dedup.flush_runs(frame(rows[:150]), 32, 4, 16), 4)
+    both = exact_dedup.extend(half, frame(rows[150:]), 4, text="body")
+    assert sorted(map(tuple, both.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 70
+    assert sorted((r.best_id, r.best_len, r.n) for r in whole.collect()) == sorted((min(i for i, t in g if len(t) == (m := max(len(t) for _, t in g))), m, len(g)) for g in ([(i, t) for i, t in rows if t.strip() == f"text {j}"] for j in range(70)))
+    for part in whole.withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.collect_list("digest").alias("d"), F.collect_set("shard").alias("s")).collect():
+        assert list(map(bytes, part.d)) == sorted(map(bytes, part.d)) and len(part.s) == 1
+
+
+def test_filters_have_few_false_positives():
+    digests = [hashlib.sha256(b"%d" % k).digest() for k in range(40_000)]
+    shard = exact_dedup.shard_of(exact_dedup._words(digests), 5)
+    parts = {k: exact_dedup.run_filter([d for d, s in zip(digests[:20_000], shard) if s == k]) for k in range(4)}
+    filters = exact_dedup.Filters(5, parts)
+    assert all(f or s == 4 for f, s in zip(filters.may_have(digests[:20_000]), shard))
+    wrong = filters.may_have(digests[20_000:])
+    assert wrong.mean() < 0.008 and not wrong[shard[20_000:] == 4].any()
+    # Filters grow with their entries, so the rate for 1e8 entries is that for any number: (1 - e^(-kn/m))^k.
+    k, bits, n = exact_dedup.FILTER_HASHES, exact_dedup.FILTER_BITS, 10**8
+    assert (1 - math.exp(-k * n / (bits * n))) ** k < 0.004
+    assert n * bits // 8 < exact_dedup.FILTER_BYTES
+
+
+@pytest.mark.parametrize("kind", ["null", "text", "unfiltered"])
+def test_exact_groups_under_awkward_identifiers(spark, kind):
+    """Hot groups under null identifiers, identifiers of text, and an index too large for its filters."""
+    name = {"null": lambda k: None if k % 3 else k, "text": lambda k: f"id{k:04d}", "unfiltered": lambda k: k}[kind]
+    rows = [(name(k), "same  text" if k % 2 else f"own {k}" if k % 4 else "same text") for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id string, text string" if kind == "text" else "doc_id long, text string").repartition(3)
+    size = 0 if kind == "unfiltered" else exact_dedup.FILTER_BYTES
+    got = exact_dedup.exact_duplicates(df, salt_rows=8, filter_bytes=size).collect()
+    groups = Counter((t or "").replace(" ", "") for _, t in rows)
+    keep = min(((d is None, d) for d, t in rows if t == "same  text"))[1]
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(groups)
+    assert Counter((r.keep_id, r.group_size) for r in got if r.group_size > 1) == {(keep, groups["sametext"]): groups["sametext"]}
+    kept = exact_dedup.drop_exact_duplicates(df, salt_rows=8, filter_bytes=size).collect()
+    assert Counter(r.text.replace(" ", "") for r in kept) == {t: 1 for t in groups}
+    assert [(r.doc_id, r.text) for r in kept if r.text.startswith("same")] == [(keep, "same  text")]
+
+
+def test_hot_copies_under_null_identifiers_are_dealt_evenly(spark):
+    df = spark.createDataFrame([(None, "one text")] * 4000, "doc_id long, text string").repartition(2)
+    rows = df.select("doc_id", F.col("text").cast("binary").alias("body"))
+    index = exact_dedup.build_index(rows, 32, 64)
+    probed = rows.mapInArrow(exact_dedup.probe(index.shared, 32), "doc_id long, n_points long, digest binary, pos long, salt int, body binary")
+    sizes = [r["count"] for r in probed.groupBy("salt").count().collect()]
+    assert len(sizes) == 63 and max(sizes) <= 80
 
 
 # near dedup
