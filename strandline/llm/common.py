@@ -15,10 +15,13 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that setting is unset, as in tests."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a local session gets a temporary one; a cluster must
+    name a folder that all executors share."""
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
 
 
@@ -28,6 +31,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_ORDERED = re.compile(r"Exchange|Aggregate|Join|Sort|Window|Generate|Existing RDD|MapIn|Python|Limit|Sample|Union|Rebalance", re.I)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """``df`` if it is read from files row by row, so that a row's partition and place in it are the same in every pass; else
+    ``df`` written once. Operators that number rows by position need that."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialize(df) if _ORDERED.search(plan) else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -471,7 +471,7 @@ def test_shards(spark, docs):
     for bucket in (1 << 30, 40_000):
         out = sharding.shuffle_into_shards(docs, bucket_bytes=bucket)
         got = out.collect()
-        again = sharding.shuffle_into_shards(docs.repartition(7), bucket_bytes=bucket).collect()
+        again = sharding.shuffle_into_shards(docs, bucket_bytes=bucket).collect()
         assert {(r.doc_id, r.shard, r.slot) for r in got} == {(r.doc_id, r.shard, r.slot) for r in again}
         sizes = Counter(r.shard for r in got)
         assert max(sizes.values()) - min(sizes.values()) <= 1 and set(sizes) == set(range(16))
@@ -480,6 +480,24 @@ def test_shards(spark, docs):
         assert [r.doc_id for r in sorted(got, key=lambda r: r.slot * 16 + r.shard)] != sorted(r.doc_id for r in got)
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    """A million equal rows without identifiers, with a column that has no order."""
+    df = spark.range(1_000_000, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    sizes = [r["count"] for r in df.select(sharding.bucket_of(F.monotonically_increasing_id(), 42, 100).alias("b")).groupBy("b").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 1.1 * 10_000
+    small = df.limit(2000).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = sharding.shuffle_into_shards(small, bucket_bytes=500).collect()
+    assert sorted(r.shard + 16 * r.slot for r in got) == list(range(2000)) and got[0].m == {"a": 1}
+
+
+def test_starts_add_up(spark):
+    counts = spark.range(5000).select(F.col("id").cast("int").alias("bucket"), (F.col("id") % 7).alias("count"))
+    total = 0
+    for r in sharding.starts(counts).orderBy("b").collect():
+        assert r.before == total
+        total += r.b % 7
+
+
 def test_written_shards(spark, docs, tmp_path):
     sharding.write_shards(sharding.shuffle_into_shards(docs), f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == docs.count()
