@@ -76,11 +76,14 @@ _CHECKS = {
     "ip": "list_max([coalesce(TRY_CAST(q AS BIGINT), 256) FOR q IN string_split(v, '.')]) <= 255",
     "card": "length(d) BETWEEN 14 AND 19 AND " + _LUHN.replace("x[k]", "string_split(reverse(d), '')[k]").replace("len(x)", "length(d)"),
     "phone": "length(d) BETWEEN 10 AND 15",
-    "iban": _MOD97,
+    "iban": "length(replace(v, ' ', '')) BETWEEN 15 AND 34 AND " + _MOD97.replace("substr(v,", "substr(replace(v, ' ', ''),"),
     "ssn": "NOT regexp_matches(v, '^(000|666|9)') AND substr(v, 5, 2) <> '00' AND substr(v, 8, 4) <> '0000'",
 }
 
 
+_BORDER = " AND NOT regexp_matches(substr(t, greatest(s, 1), least(s, 1)), '[A-Za-z0-9]') AND NOT regexp_matches(substr(t, s + length(v) + 1, 1), '[A-Za-z0-9]')"
+
+
 def _kind_sql(n: int, k: pii.Kind) -> str:
     pattern = _PLAIN.get(k.name, k.pattern)
     near = f"substr(t, greatest(s - {pii.BEFORE}, 0) + 1, s - greatest(s - {pii.BEFORE}, 0)) || chr(10) || substr(t, s + length(v) + 1, {pii.AFTER})"
@@ -90,7 +93,7 @@ a{n} AS (SELECT r, t, regexp_extract_all(t, '{pattern}') AS m, string_split_rege
 b{n} AS (SELECT r, t, unnest(range(1, len(m) + 1)) AS i, m, g FROM a{n} WHERE len(m) > 0),
 c{n} AS (SELECT r, t, m[i] AS v, regexp_replace(m[i], '[^0-9]', '', 'g') AS d, (list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0))::BIGINT AS s FROM b{n}),
 k{n} AS (SELECT r, s, s + length(v) AS e, {n} AS kind, '{k.name}' AS name, least(100, {k.prior} + CASE WHEN regexp_matches({near}, '{k.words}') THEN {pii.CONTEXT} ELSE 0 END) AS score
-         FROM c{n} WHERE {_CHECKS.get(k.name, 'TRUE')}){','}"""
+         FROM c{n} WHERE {_CHECKS.get(k.name, 'TRUE')}{_BORDER if k.border else ''}){','}"""
 
 
 ORACLES["op9_pii"] = rf"""
