@@ -3,15 +3,17 @@
 One pass over the texts counts the base figures and hashes each line (its words, A-Z lower-cased, joined by single spaces;
 XXH3, 128 bits). Lines are then counted per host by the distinct documents that have them, where documents with equal texts
 count once, so that copies of a page don't make its own lines look like a template. A line is *frequent* on a host when more
-than ``max(MIN_DOCS, SHARE x distinct documents of the host)`` documents have it. A document that keeps less than ``LEFT`` of
-its words without its frequent lines is depleted and rejected, as is one that fails the base rules. ``judge`` counts,
-``clean_good`` returns the accepted texts without their frequent lines, and ``keep_good`` returns them as they were.
+than ``LIMIT`` documents have it. The limit is a number, not a share: whether a line is a template doesn't depend on how many
+other documents its host has. A document is depleted, and rejected, if without its frequent lines less than ``MIN_WORDS`` words
+or less than ``LEFT`` of its words remain; so is one that fails the base rules. ``judge`` counts, ``clean_good`` returns the
+accepted texts without their frequent lines, and ``keep_good`` returns them as they were.
 
 The counts are aggregates with partial sums, so a line of half the corpus costs one row a task. Lines meet the frequent ones
 in an equi-join whose small side holds frequent lines only; Spark splits its skewed keys.
 
-The host of a document is its ``host`` column (null is a host of its own). Null text: no words. Repeated rows are judged
-each; they count as one document. Documents without words fail the base rules. Empty tables give empty results.
+The host of a document is the column named by ``host``, ``source`` by default; null is a host of its own. Null text: no words.
+Repeated rows are judged each; they count as one document. Documents without words fail the base rules. Null identifiers stay.
+Very long texts are profiled one at a time. Empty tables give empty results. Other columns keep their values and names.
 """
 
 from __future__ import annotations
@@ -28,14 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import SPACE_BYTES, materialize, text_bytes
+from .common import SPACE_BYTES, free_name, materialize, text_bytes
 from .exact_dedup import code_points
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-MIN_DOCS = 20
-SHARE = 0.01
+LIMIT = 20
 LEFT = 0.3
 
 _LINE = pa.struct([("hash", pa.binary()), ("words", pa.int32())])
@@ -89,25 +90,23 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows, *cols], [*batch.schema.names[:-1], *PROFILE.names])
 
 
-def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
+def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, left: float = LEFT) -> DataFrame:
     """One row per row of ``docs``: doc_id, the base figures, base_failed, n_frequent_words, kept."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(host).cast("string").alias("host"), text_bytes(text).alias("body"))
-    return _judge(rows, min_docs, share, left).drop("host", "row", "frequent")
+    return _judge(rows, limit, left).drop("host", "row", "frequent")
 
 
-def _judge(rows: DataFrame, min_docs: int, share: float, left: float) -> DataFrame:
+def _judge(rows: DataFrame, limit: int, left: float) -> DataFrame:
     seen = materialize(rows.mapInArrow(_profiles, StructType([*rows.schema.fields[:-1], *PROFILE.fields])))
     texts = seen.groupBy("host", "text_hash").agg(F.first("lines").alias("lines"))
-    hosts = seen.groupBy("host", "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("docs"))
-    counts = texts.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("docs_with_line")).where(F.col("docs_with_line") > min_docs)
-    same_host = counts["host"].eqNullSafe(hosts["host"])
-    frequent = counts.join(hosts, same_host).where(F.col("docs_with_line") > F.greatest(F.lit(float(min_docs)), share * F.col("docs"))).select(counts["host"].alias("on"), F.col("hash").alias("frequent"))
+    counts = texts.select("host", F.explode("lines.hash").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("docs"))
+    frequent = counts.where(F.col("docs") > limit).select(F.col("host").alias("on"), F.col("hash").alias("frequent"))
     lines = seen.select("row", "host", F.explode("lines").alias("line"))
     removed = lines.join(frequent, F.col("host").eqNullSafe(F.col("on")) & (F.col("line.hash") == F.col("frequent"))).groupBy("row").agg(F.sum("line.words").alias("n_frequent_words"), F.collect_list("frequent").alias("frequent"))
     out = seen.drop("lines", "text_hash").join(removed, "row", "left").withColumn("n_frequent_words", F.coalesce("n_frequent_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    enough = F.col("n_words") - F.col("n_frequent_words") >= left * F.col("n_words")
-    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & enough)
+    remain = F.col("n_words") - F.col("n_frequent_words")
+    return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (remain >= MIN_WORDS) & (remain >= left * F.col("n_words")))
 
 
 def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
@@ -116,10 +115,8 @@ def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host:
     A verdict holds for all rows with the same identifier, host and text, so rejected rows are told by identifier and, where
     an identifier has both verdicts, by the hash of the text.
     """
-    from .common import free_name
-
     rows = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("doc_id"), F.col(host).cast("string").alias("host"), text_bytes(text).alias("body"))
-    verdicts = materialize(_judge(rows, MIN_DOCS, SHARE, LEFT).groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")))
+    verdicts = materialize(_judge(rows, LIMIT, LEFT).groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")))
     key = free_name(docs.columns, "key")
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     bad = verdicts.where("not all").select(F.col("doc_id").alias(key))
@@ -140,7 +137,7 @@ def _each_without(body: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([None if raw is None else without_lines(raw, set(lines)) for raw, lines in zip(body, gone)], dtype=object)
 
 
-def clean_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", min_docs: int = MIN_DOCS, share: float = SHARE, left: float = LEFT, chars: str | None = None) -> DataFrame:
+def clean_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", limit: int = LIMIT, left: float = LEFT, chars: str | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, their texts without frequent lines; ``chars`` names a column that has the text's length.
 
     Verdict and lines depend on host and text alone. Rows that are rejected or have frequent lines are found by identifier,
@@ -150,7 +147,7 @@ def clean_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host
     at = docs.columns.index
     flat = docs.toDF(*own)
     ident, on, body = F.coalesce(F.col(own[at(doc_id)]).cast("string"), F.lit("")), F.col(own[at(host)]).cast("string"), text_bytes(own[at(text)])
-    judged = _judge(flat.select(ident.alias("doc_id"), F.sha2(body, 256).alias("sum"), on.alias("host"), body.alias("body")), min_docs, share, left)
+    judged = _judge(flat.select(ident.alias("doc_id"), F.sha2(body, 256).alias("sum"), on.alias("host"), body.alias("body")), limit, left)
     touched = judged.where("not kept or frequent is not null").groupBy(F.col("doc_id").alias("i"), F.col("sum").alias("s"), F.col("host").alias("h")).agg(F.bool_and("kept").alias("ok"), F.first("frequent").alias("gone"))
     rows = flat.join(touched, (ident == F.col("i")) & (F.sha2(body, 256) == F.col("s")) & on.eqNullSafe(F.col("h")), "left").where(F.coalesce("ok", F.lit(True)))
     cleaned = F.pandas_udf(_each_without, BinaryType())(F.when(F.col("gone").isNotNull(), body), F.col("gone"))
@@ -166,7 +163,7 @@ def _by_text(again: DataFrame, docs: DataFrame, doc_id: str, text: str, host: st
     at = docs.columns.index
     flat = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("doc_id"), F.col(host).cast("string").alias("host"), text_bytes(text).alias("body"))
     hashed = flat.withColumn("sum", F.sha2("body", 256)).select("doc_id", "sum", "host", "body")
-    good = _judge(hashed, MIN_DOCS, SHARE, LEFT).where("kept").select(F.col("doc_id").alias("i"), F.col("sum").alias("s"), F.col("host").alias("h")).distinct()
+    good = _judge(hashed, LIMIT, LEFT).where("kept").select(F.col("doc_id").alias("i"), F.col("sum").alias("s"), F.col("host").alias("h")).distinct()
     rows = again.toDF(*own)
     same = (F.coalesce(F.col(own[at(doc_id)]).cast("string"), F.lit("")) == F.col("i")) & (F.sha2(text_bytes(own[at(text)]), 256) == F.col("s")) & F.col(own[at(host)]).cast("string").eqNullSafe(F.col("h"))
     return rows.join(good, same, "left_semi").toDF(*docs.columns)

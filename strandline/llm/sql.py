@@ -27,9 +27,7 @@ ln AS (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
 ok AS (SELECT r, source, t, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS lw FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 nl AS (SELECT r, source, t, line, array_to_string(lw, ' ') AS norm, len(lw) AS words FROM ok),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM nl GROUP BY r),
-hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY source),
-freq AS (SELECT nl.source, norm FROM nl GROUP BY nl.source, norm
-         HAVING count(DISTINCT t) > greatest(20, 0.01 * (SELECT h.docs FROM hosts h WHERE h.source IS NOT DISTINCT FROM nl.source))),
+freq AS (SELECT source, norm FROM nl GROUP BY source, norm HAVING count(DISTINCT t) > 20),
 gone AS (SELECT r, sum(words) AS n_frequent_words FROM nl JOIN freq ON nl.source IS NOT DISTINCT FROM freq.source AND nl.norm = freq.norm GROUP BY r),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
@@ -37,30 +35,32 @@ f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20
              coalesce(n_frequent_words, 0)::BIGINT AS n_frequent_words
       FROM w LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
-SELECT *, NOT base_failed AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM b
+SELECT *, NOT base_failed AND n_words - n_frequent_words >= 50 AND n_words - n_frequent_words >= 0.3 * n_words AS kept FROM b
 """
 
 
-def _values(terms: tuple[str, ...]) -> str:
-    return ", ".join(f"('{t}')" for t in terms)
-
+_FORMS = ", ".join(f"('-{form}-', '{term}', {url_filter.TERMS[term]})" for form, term in url_filter.spellings(url_filter.TERMS).items())
+#: Escapes of printable ASCII; the one of the percent sign last, as what it makes isn't decoded again.
+_CODES = ", ".join(f"'%{k:02x}'" for k in [*range(0x20, 0x25), *range(0x26, 0x80), 0x25])
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_DECODED = _LOW.format(f"list_reduce(list_prepend({_LOW.format('coalesce(url, chr(32))')}, [{_CODES}]), lambda a, c: replace(a, c, chr(('0x' || substr(c, 2))::INT)))")
 
 _RULES = ", ".join(f"('{v}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for v, r in url_filter.RULES)
 
 ORACLES["op5_url_filter"] = rf"""
 WITH u AS (SELECT row_number() OVER () AS r, page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-h AS (SELECT r, page_id, translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low,
+h AS (SELECT r, page_id, '-' || regexp_replace({_DECODED}, '[^a-z0-9]+', '-', 'g') || '-' AS plain,
              translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 rules(verdict, rule, rhost, rpath) AS (VALUES {_RULES}),
 fit AS (SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM h, rules
         WHERE host <> '' AND (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY r),
-strict(term) AS (VALUES {_values(url_filter.STRICT)}), soft(term) AS (VALUES {_values(url_filter.SOFT)}),
-hs AS (SELECT r, count(*) AS n FROM h, strict WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY r),
-hf AS (SELECT r, count(*) AS n FROM h, soft WHERE regexp_matches(low, '(^|[^a-z0-9])' || term || '($|[^a-z0-9])') GROUP BY r)
-SELECT page_id, host, path, fit.rule, coalesce(hs.n, 0)::INT AS n_strict, coalesce(hf.n, 0)::INT AS n_soft,
-       coalesce(fit.verdict, CASE WHEN coalesce(hs.n, 0) > 0 OR coalesce(hf.n, 0) >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM h LEFT JOIN fit USING (r) LEFT JOIN hs USING (r) LEFT JOIN hf USING (r)
+forms(form, term, weight) AS (VALUES {_FORMS}),
+hit AS (SELECT DISTINCT r, term, weight FROM h, forms WHERE contains(plain, form)),
+w AS (SELECT r, count(*) FILTER (WHERE weight >= 3) AS strict, count(*) FILTER (WHERE weight < 3) AS soft, sum(weight)::DOUBLE AS weight FROM hit GROUP BY r)
+SELECT page_id, host, path, fit.rule, coalesce(strict, 0)::INT AS n_strict, coalesce(soft, 0)::INT AS n_soft, coalesce(weight, 0)::DOUBLE AS weight,
+       coalesce(fit.verdict, CASE WHEN weight >= 3 THEN 'block' ELSE 'allow' END) AS verdict
+FROM h LEFT JOIN fit USING (r) LEFT JOIN w USING (r)
 """
 
 #: The base patterns as given; the operator's own are the same languages without look-behind and possessive repeats.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 import corpus_pipeline
-from strandline.llm import byte_bpe, byte_cnn, components, exact_dedup, maxent_lm, mixing, pii, quality_rules, sharding, simhash, sql
+from strandline.llm import byte_bpe, byte_cnn, components, exact_dedup, maxent_lm, mixing, pii, quality_rules, sharding, simhash, sql, url_filter
 
 SF = "/root/testdata/sf0.001"
 
@@ -436,6 +436,36 @@ def test_common_unwanted_domains_are_cut():
     assert mixing.goals(now, w, 500.0, wanted) == pytest.approx(w * 500)
 
 
+# URL filter
+
+
+def test_terms_decide(spark):
+    """URLs that no rule fits: borders, escapes, joined words, plurals, and sums of soft terms."""
+    urls = {
+        "https://a.test/porn/1": ("block", 1, 0), "https://a.test/xpornx": ("allow", 0, 0), "https://a.test/%50%6Frn": ("block", 1, 0), "https://a.test/%2570orn": ("allow", 0, 0),
+        "https://a.test/online%20casino": ("block", 1, 1), "https://a.test/Online_Casinos": ("block", 1, 1), "https://a.test/onlinecasino": ("allow", 0, 0),
+        "https://adult.test/poker": ("block", 0, 2), "https://adult.test/adult/adults": ("allow", 0, 1), "https://a.test/cheap/pills/deal": ("block", 0, 3),
+        "https://a.test/cheap/pills": ("allow", 0, 2), "https://a.test/news/sussex": ("allow", 0, 0), "porn": ("block", 1, 0), "https://a.test/éporné": ("block", 1, 0), "": ("allow", 0, 0),
+    }
+    got = url_filter.judge_urls(spark.createDataFrame([(k, u) for k, u in enumerate(urls)], "page_id long, url string")).orderBy("page_id").collect()
+    assert {u: (r.verdict, r.n_strict, r.n_soft) for u, r in zip(urls, got)} == urls and not any(r.rule for r in got)
+    assert got[0].weight == 3 and got[7].weight == 3 and got[10].weight == 2
+
+
+def test_vocabulary_table(spark):
+    table = spark.createDataFrame([("Bad Word", 2.0), ("bad word", 1.0), ("odd", 1.0), (None, 5.0), ("worse", None)], "term string, weight double")
+    terms = url_filter.vocabulary(table)
+    assert terms == {"Bad Word": 2.0, "bad word": 1.0, "odd": 1.0}
+    urls = spark.createDataFrame([(1, "http://h/bad+word/odd"), (2, "http://h/worse")], "page_id long, url string")
+    assert [r.verdict for r in url_filter.judge_urls(urls, terms={"bad word": 2.0, "odd": 1.0}).orderBy("page_id").collect()] == ["block", "allow"]
+    assert [r.verdict for r in url_filter.judge_urls(urls, terms={}).collect()] == ["allow", "allow"]
+
+
+def test_terms_decide_on_the_test_tables(spark):
+    got = driver.queries()["op5_url_filter"](spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count().collect()
+    assert {r.verdict for r in got} == {"allow", "block"}
+
+
 # quality rules, personal data, sharding
 
 
@@ -448,10 +478,27 @@ def test_frequent_lines_deplete(spark):
     own = lambda k: " ".join(f"own{k}w{j}" for j in range(60))
     shared = " ".join(f"menu{j}" for j in range(200))
     rows = [(k, f"{own(k)}\n{shared}" if k < 30 else own(k), "h" if k % 2 else "g") for k in range(120)]
-    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_docs=10).collect()}
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"), limit=10).collect()}
     assert sorted(d for d, r in got.items() if not r.kept) == list(range(30)) and got[0].n_frequent_words == 200
     copies = spark.createDataFrame([(k, own(0), "h") for k in range(50)], "doc_id long, text string, source string")
-    assert all(r.kept for r in quality_rules.judge(copies, min_docs=10).collect())
+    assert all(r.kept for r in quality_rules.judge(copies, limit=10).collect())
+
+
+def test_template_of_a_hot_host(spark):
+    """A line in 100 of several thousand documents of one host is a template there; one in 20 isn't, nor is it elsewhere."""
+    own = lambda k, n: " ".join(f"own{k}w{j}" for j in range(n))
+    menu, rare = " ".join(f"menu{j}" for j in range(40)), " ".join(f"rare{j}" for j in range(40))
+    text = lambda k: f"{own(k, 45)}\n{menu}" if k < 100 else f"{own(k, 45)}\n{rare}" if k < 120 else own(k, 60)
+    rows = [(k, text(k), "hot") for k in range(4000)] + [(4000 + k, f"{own(4000 + k, 45)}\n{menu}", "cold") for k in range(20)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(8)).collect()}
+    assert sorted(d for d, r in got.items() if not r.kept) == list(range(100)) and not any(r.base_failed for r in got.values())
+    assert {r.n_frequent_words for d, r in got.items() if d >= 100} == {0}
+
+
+def test_lines_decide_on_the_test_tables(spark):
+    """The verdict of some documents of the tables comes from their lines, not from the base rules."""
+    got = driver.queries()["op6_quality_rules"](spark, "/root/testdata/sf0.1").where("not base_failed").selectExpr("count(*) n", "count_if(not kept) gone", "count_if(n_frequent_words > 0) touched").first()
+    assert got.touched > 1000 and 0 < got.gone < 0.02 * got.n
 
 
 def test_frequent_lines_leave_the_texts(spark, tmp_path):
