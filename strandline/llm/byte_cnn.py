@@ -6,12 +6,15 @@ byte act on learned byte vectors; each filter is max-pooled over the chunk. A hi
 see what occurs in a chunk as well as what is missing, as in a chunk of one word over and over. Over the whole document the
 hidden units are pooled by maximum and by mean, and a logistic unit gives the probability of label 1.
 
-Training: gradient descent (Adam) on the driver, on a sample bounded by ``TRAIN_DOCS`` labelled rows by hash of the
-identifier and ``TRAIN_CHUNKS`` chunks of each, spread over the whole text; scoring reads every chunk. Inputs are bytes of the
+Training: gradient descent (Adam) on the driver, on a sample of at most about ``TRAIN_DOCS`` labelled rows by hash of the
+identifier, in ``UPDATES`` updates of ``BATCH`` texts whatever the sample's size. Every chunk of a sampled text is read, as in
+scoring; long texts go through the network in blocks, so memory is that of the texts plus one block. Inputs are bytes of the
 text only. The sample is ordered and the start seeded, so equal tables give equal models.
 
-Null text: empty. Labels without a document and null labels are ignored; of repeated labels the larger counts. Without
-training rows every score is 0.5. Scores of equal texts are equal.
+Null text: empty. Labels without a document, null labels and labels under a null identifier are ignored; of repeated labels the
+larger counts, and repeated rows of a labelled document each count. Identifiers may be of any type; labels meet them as text.
+Null identifiers stay in the result. Without training rows every score is 0.5. Scores of equal texts are equal. Empty tables
+give empty results; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -23,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, text_bytes
+from .common import id_crc, id_text, text_bytes
 
 CHUNK, STEP, WIDTH, STRIDE = 256, 224, 8, 2
 VECTOR, FILTERS, HIDDEN = 4, 32, 16
-TRAIN_DOCS, TRAIN_CHUNKS = 1600, 32
-EPOCHS, BATCH, RATE = 14, 32, 6e-3
+TRAIN_DOCS = 1600
+UPDATES, BATCH, RATE = 700, 32, 6e-3
 SEED = 42
 THRESHOLD = 0.3
 _BLOCK = 64
@@ -40,11 +43,9 @@ def chunk_starts(size: int) -> range:
     return range(0, max(1, size - CHUNK + STEP), STEP)
 
 
-def chunks(raw: bytes, most: int | None = None) -> np.ndarray:
-    """The chunks of a text as rows; with ``most``, that many spread over it."""
+def chunks(raw: bytes) -> np.ndarray:
+    """The chunks of a text as rows."""
     starts = chunk_starts(len(raw))
-    if most and len(starts) > most:
-        starts = [starts[k * (len(starts) - 1) // (most - 1)] for k in range(most)]
     data = np.zeros(max(starts[-1] + CHUNK, len(raw)), np.uint8)
     data[: len(raw)] = np.frombuffer(raw, np.uint8)
     return data[np.asarray(starts)[:, None] + np.arange(CHUNK)]
@@ -66,6 +67,16 @@ class Network:
         view = np.lib.stride_tricks.sliding_window_view(v, WIDTH * VECTOR, axis=1)[:, :: STRIDE * VECTOR]
         return np.ascontiguousarray(view)
 
+    def peaks(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each chunk and filter the site with the largest value, and that value with its bias."""
+        best, peak = np.empty((len(rows), FILTERS), np.int64), np.empty((len(rows), FILTERS), self.p["filters"].dtype)
+        for k in range(0, len(rows), _BLOCK):
+            w = self.windows(rows[k:k + _BLOCK])
+            sites = (w.reshape(-1, WIDTH * VECTOR) @ self.p["filters"]).reshape(len(w), _SITES, FILTERS)
+            best[k:k + _BLOCK] = sites.argmax(1)
+            peak[k:k + _BLOCK] = np.take_along_axis(sites, best[k:k + _BLOCK, None], 1)[:, 0]
+        return best, peak + self.p["filter_bias"]
+
     def units(self, rows: np.ndarray) -> np.ndarray:
         """Hidden units of chunks."""
         p, out = self.p, np.empty((len(rows), HIDDEN), np.float32)
@@ -90,10 +101,7 @@ class Network:
         sizes = np.array([len(t) for t in texts])
         first = np.cumsum(sizes) - sizes
         doc = np.repeat(np.arange(len(texts)), sizes)
-        w = self.windows(rows)
-        sites = (w.reshape(-1, WIDTH * VECTOR) @ p["filters"]).reshape(len(rows), _SITES, FILTERS)
-        best = sites.argmax(1)
-        peak = np.take_along_axis(sites, best[:, None], 1)[:, 0] + p["filter_bias"]
+        best, peak = self.peaks(rows)
         pooled = np.maximum(peak, 0)
         h = np.maximum(pooled @ p["hidden"] + p["hidden_bias"], 0)
         top, mean = np.maximum.reduceat(h, first), np.add.reduceat(h, first) / sizes[:, None]
@@ -105,48 +113,43 @@ class Network:
         dh = (d_mean[doc] + np.where(ties, d_top[doc] / np.add.reduceat(ties.astype(np.float32), first)[doc], 0)) * (h > 0)
         g["hidden"], g["hidden_bias"] = pooled.T @ dh, dh.sum(0)
         da = (dh @ p["hidden"].T) * (peak > 0)
-        at = w[np.arange(len(rows))[:, None], best]
-        g["filters"], g["filter_bias"] = np.einsum("mfk,mf->kf", at, da), da.sum(0)
-        dv = (da[:, :, None] * p["filters"].T[None]).reshape(-1, VECTOR)
-        where = rows[np.arange(len(rows))[:, None, None], best[:, :, None] * STRIDE + np.arange(WIDTH)].ravel()
-        g["vectors"] = np.stack([np.bincount(where, dv[:, k], 256) for k in range(VECTOR)], 1).astype(np.float32)
+        g["filters"], g["filter_bias"], g["vectors"] = np.zeros_like(p["filters"]), da.sum(0), np.zeros_like(p["vectors"])
+        for k in range(0, len(rows), _BLOCK):
+            own, d = rows[k:k + _BLOCK], da[k:k + _BLOCK]
+            where = own[np.arange(len(own))[:, None, None], best[k:k + _BLOCK, :, None] * STRIDE + np.arange(WIDTH)]
+            at = p["vectors"][where].reshape(len(own), FILTERS, WIDTH * VECTOR)
+            g["filters"] += np.einsum("mfk,mf->kf", at, d)
+            dv = (d[:, :, None] * p["filters"].T[None]).reshape(-1, VECTOR)
+            g["vectors"] += np.stack([np.bincount(where.ravel(), dv[:, j], 256) for j in range(VECTOR)], 1)
         return g
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> None:
-        rng, t = np.random.default_rng(SEED), 0
+    def fit(self, texts: list[bytes], labels: np.ndarray, updates: int = UPDATES) -> None:
+        rng, order = np.random.default_rng(SEED), np.empty(0, int)
         share = np.clip(labels.mean(), 0.01, 0.99)
         self.p["out_bias"][0] = np.log(share / (1 - share))
         m, s = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        epochs = max(epochs, min(100, epochs * 600 // max(1, len(texts))))
-        for epoch in range(epochs):
-            rate = RATE * (1 - 0.9 * epoch / epochs)
-            order = rng.permutation(len(texts))
-            for k in range(0, len(order), BATCH):
-                pick = order[k:k + BATCH]
-                t += 1
-                for name, grad in self.gradients([texts[i] for i in pick], labels[pick]).items():
-                    m[name] = 0.9 * m[name] + 0.1 * grad
-                    s[name] = 0.99 * s[name] + 0.01 * grad * grad
-                    self.p[name] -= np.float32(rate) * ((m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-
-
-def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [chunks(raw, TRAIN_CHUNKS).tobytes() for raw in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["id", "label", "rows"])
+        for t in range(1, updates + 1):
+            while len(order) < BATCH:
+                order = np.concatenate([order, rng.permutation(len(texts))])
+            pick, order = order[:BATCH], order[BATCH:]
+            rate = RATE * (1 - 0.9 * t / updates)
+            for name, grad in self.gradients([chunks(texts[i]) for i in pick], labels[pick]).items():
+                m[name] = 0.9 * m[name] + 0.1 * grad
+                s[name] = 0.99 * s[name] + 0.01 * grad * grad
+                self.p[name] -= np.float32(rate) * ((m[name] / (1 - 0.9**t)) / (np.sqrt(s[name] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Network | None:
     """``labels``: doc_id, label (0 or 1). The network, or None without rows."""
-    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("label").cast("int").alias("label"))
+    known = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(id_text("doc_id").alias("id")).agg(F.max("label").cast("int").alias("label"))
     every = max(1, -(-known.count() // TRAIN_DOCS))
     picked = known.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(every)) == 0)
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text_bytes(text).alias("body")).join(F.broadcast(picked), "id").select("id", "label", "body")
-    got = rows.mapInArrow(_samples, "id long, label int, rows binary").orderBy("id", "rows").toArrow()
+    rows = docs.select(id_text(doc_id).alias("id"), text_bytes(text).alias("body")).join(F.broadcast(picked), "id")  # about TRAIN_DOCS rows
+    got = rows.select("id", "label", "body").orderBy("id", "body").toArrow()
     if not got.num_rows:
         return None
     network = Network()
-    network.fit([np.frombuffer(r, np.uint8).reshape(-1, CHUNK) for r in got["rows"].to_pylist()], np.asarray(got["label"]).astype(np.float32))
+    network.fit(got["body"].to_pylist(), np.asarray(got["label"]).astype(np.float32))
     return network
 
 
