@@ -12,14 +12,17 @@ each point is sent to every branch that its ball of radius 1 overlaps, and to no
 least one leaf: the search is exact. With half the radius a level copies about a fifth of the points; with the full radius
 it would copy two fifths.
 
-*Leaves.* The upper tree is built from a bounded sample (routing is exact for any tree; the sample only shapes its balance);
-each leaf is a shard, in which a deeper tree of the same kind is searched in numpy down to small blocks that are compared
-directly. A shard emits a spanning forest of its links, never all pairs. Where points lie so close together that no vantage
-point separates them, they meet on their common neighbours at distance 1 instead (65 keys a point, at most 65 points a key),
-which is exact as well and has no large groups.
-
-Fingerprints are distinct before the search, so copies of a text cost one point. Null text: no words. A null identifier
-counts as larger than all others. Empty tables give empty results; other columns are not read.
+*Leaves.* The upper tree is built from a sample of at least ``LEAF_SAMPLE`` points a leaf (routing is exact for any tree; the
+sample only shapes its balance). Then the points that reach each leaf are counted, and a leaf with more than twice the points of
+a shard is split again by a tree over a sample of its own points, until none is left that a vantage point can split. Each leaf
+is a shard, in which a deeper tree of the same kind is searched in numpy down to small blocks that are compared directly. A
+shard emits a spanning forest of its links, never all pairs. Where points lie so close together that no vantage point separates
+them, they meet on their common neighbours at distance 1 instead (65 keys a point, at most 65 points a key), which is exact as
+well and has no large groups.
+
+Fingerprints are distinct before the search, so copies of a text cost one point. Null text: no words. Identifiers are of any
+type that has an order; a null one counts as larger than all others. Very long texts are hashed in parts. Repeated rows get the
+same result each. Empty tables give empty results; other columns are not read, and keep their values and names.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import free_name, materialize, shuffle_partitions, text_bytes
 from .components import components
@@ -42,11 +45,11 @@ SEED = 42
 SHINGLE = 3
 MAX_BITS = 2
 HALF = 1
-SAMPLE = 65_536
+SAMPLE, LEAF_SAMPLE = 65_536, 16
 SHARD_POINTS = (4_096, 1_000_000)
+SPLITS = 8
 BLOCK = 384
 DENSE = 0.93
-NO_ID = (1 << 63) - 1
 _PART = 1 << 15
 
 
@@ -84,9 +87,9 @@ def _each_fingerprint(body: pd.Series) -> pd.Series:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id (NO_ID for null), fp (long)."""
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), text_bytes(text).alias("body"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, fp (long)."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text).alias("body"))
+    return rows.mapInArrow(_fingerprints, StructType([rows.schema["doc_id"], StructField("fp", LongType())]))
 
 
 @dataclass
@@ -113,6 +116,26 @@ class Tree:
             todo += [(self.inside[node], rows[near]), (self.outside[node], rows[far])]
 
 
+    def graft(self, leaf: int, own: Tree) -> None:
+        """Puts another tree in place of a leaf; its leaves get new numbers, but for one that keeps the old number."""
+        nodes, leaves = len(self.vantage), len(self.dense)
+        number = lambda c: nodes + c if c >= 0 else ~leaf if ~c == 0 else ~(leaves + ~c - 1)
+        self.vantage += own.vantage
+        self.radius += own.radius
+        self.inside += map(number, own.inside)
+        self.outside += map(number, own.outside)
+        self.dense[leaf] = own.dense[0]
+        self.dense += own.dense[1:]
+        if own.root < 0:
+            return
+        if self.root == ~leaf:
+            self.root = nodes
+        for side in (self.inside, self.outside):
+            for k in range(nodes):
+                if side[k] == ~leaf:
+                    side[k] = nodes
+
+
 def _sides(points: np.ndarray, vantage: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     d = np.bitwise_count(points ^ np.uint64(vantage)).astype(np.int64)
     return d - HALF <= radius, d + HALF > radius
@@ -215,20 +238,45 @@ def _solve(table: pa.Table) -> pa.Table:
     return pa.table({"u": points[rows].view(np.int64), "v": points[labels[rows]].view(np.int64)})
 
 
+def _sampled(prints: DataFrame, n: int, wanted: int) -> DataFrame:
+    return prints.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // max(1, wanted)))) == 0)
+
+
+def _routed(prints: DataFrame, tree: Tree) -> DataFrame:
+    return prints.select("fp").mapInArrow(_route(prints.sparkSession.sparkContext.broadcast(tree)), "leaf int, fp long")
+
+
+def upper_tree(prints: DataFrame, n: int, shard_points: int, sample: int = SAMPLE) -> Tree:
+    """A tree whose leaves get at most twice ``shard_points`` points, but for those that nothing splits, which are dense."""
+    taken = np.unique(np.asarray(_sampled(prints, n, max(sample, LEAF_SAMPLE * (n // shard_points))).select("fp").toArrow()["fp"]).view(np.uint64))
+    tree = build(taken, max(LEAF_SAMPLE, shard_points * len(taken) // max(1, n)))
+    for _ in range(SPLITS):
+        sizes = {r["leaf"]: r["count"] for r in _routed(prints, tree).groupBy("leaf").count().where(F.col("count") > 2 * shard_points).collect()}
+        large = {leaf: size for leaf, size in sizes.items() if not tree.dense[leaf]}
+        if not large:
+            break
+        every = F.create_map(*(F.lit(int(x)) for leaf, size in large.items() for x in (leaf, max(1, size // max(sample, LEAF_SAMPLE * (size // shard_points))))))
+        got = _routed(prints, tree).where(F.col("leaf").isin(list(large))).where(F.pmod(F.xxhash64("fp"), F.element_at(every, F.col("leaf"))) == 0).toArrow()
+        leaf_of, points = np.asarray(got["leaf"]), np.asarray(got["fp"]).view(np.uint64)
+        for leaf, size in large.items():
+            own = np.unique(points[leaf_of == leaf])
+            grown = build(own, max(LEAF_SAMPLE, shard_points * len(own) // size))
+            if grown.root < 0:
+                grown.dense[0] = True
+            tree.graft(leaf, grown)
+    return tree
+
+
 def links(prints: DataFrame, n: int, shard_points: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """``prints``: fp, distinct, ``n`` of them. Returns u, v: links whose components are those of all links.
 
     A point is sent to about (n / shard_points)^0.36 shards, so shards are as large as leaves two for each partition, up to a
     million points of eight bytes.
     """
-    spark = prints.sparkSession
     if shard_points is None:
-        shard_points = min(SHARD_POINTS[1], max(SHARD_POINTS[0], n // (2 * shuffle_partitions(spark))))
-    every = max(1, -(-n // sample))
-    taken = np.sort(np.asarray(prints.where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0).select("fp").toArrow()["fp"]).view(np.uint64))
-    tree = build(taken, max(16, shard_points * len(taken) // max(1, n)))
-    shared = spark.sparkContext.broadcast(tree)
-    routed = prints.select("fp").mapInArrow(_route(shared), "leaf int, fp long")
+        shard_points = min(SHARD_POINTS[1], max(SHARD_POINTS[0], n // (2 * shuffle_partitions(prints.sparkSession))))
+    tree = upper_tree(prints, n, shard_points, sample)
+    routed = _routed(prints, tree)
     close = [k for k, x in enumerate(tree.dense) if x]
     found = (routed.where(~F.col("leaf").isin(close)) if close else routed).groupBy("leaf").applyInArrow(_solve, "u long, v long")
     if close:
@@ -250,9 +298,8 @@ def classes(rows: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id, one row per row of ``docs``."""
-    null_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     found = classes(materialize(fingerprints(docs, doc_id, text)))
-    return found.select(null_id("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_id("component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,20 +307,21 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
 
     Rows to drop are found by identifier. Identifiers that occur more than once (null counts as one) are told apart by their
     fingerprint: of each class whose smallest identifier that is, the rows with the class's smallest fingerprint under it are
-    meant, and of rows that agree in both one stays.
+    meant, and of rows that agree in both the one with the smallest text stays.
     """
-    rows = materialize(fingerprints(docs, doc_id, text))
-    found = materialize(classes(rows))
+    found = materialize(classes(materialize(fingerprints(docs, doc_id, text))))
     key, twin = free_name(docs.columns, "key"), free_name(docs.columns, "fp")
-    ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
+    same = F.col(doc_id).eqNullSafe(F.col(key))
     repeated = materialize(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).union(repeated).distinct()
-    kept = docs.join(gone, ident == F.col(key), "left_anti")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).union(repeated).distinct()
+    kept = docs.join(gone, same, "left_anti")
     if repeated.isEmpty():
         return kept
-    again = docs.join(repeated, ident == F.col(key), "left_semi")
+    again = docs.join(repeated, same, "left_semi")
     own = [f"c{k}" for k in range(len(docs.columns))]
-    flat = again.toDF(*own).select(*own, F.coalesce(F.col(own[docs.columns.index(doc_id)]).cast("long"), F.lit(NO_ID)).alias(key), F.pandas_udf(_each_fingerprint, LongType())(text_bytes(own[docs.columns.index(text)])).alias(twin))
-    best = found.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("m")).select(F.col("m.doc_id").alias(key), F.col("m.fp").alias(twin))
-    return kept.union(flat.join(best, [key, twin], "left_semi").dropDuplicates([key, twin]).select(*own).toDF(*docs.columns))
-
+    ident, words = F.col(own[docs.columns.index(doc_id)]), text_bytes(own[docs.columns.index(text)])
+    flat = again.toDF(*own).select(*own, F.pandas_udf(_each_fingerprint, LongType())(words).alias("own_fp"))
+    meant = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias(twin), F.first("component_id").alias(key))
+    rows = flat.join(meant, ident.eqNullSafe(F.col(key)) & (F.col("own_fp") == F.col(twin)), "left_semi")
+    first = rows.groupBy(ident.alias("i"), "own_fp").agg(F.min_by(F.struct(*own), words).alias("r")).select("r.*")
+    return kept.union(first.toDF(*docs.columns))

@@ -208,8 +208,41 @@ def test_components_of_a_path(spark):
     order = list(range(n))
     random.Random(2).shuffle(order)
     path = spark.createDataFrame([(order[k], order[k + 1]) for k in range(n - 1)] + [(1000, 1001), (5000, 5000)], "u long, v long")
-    got = {r.u: r.v for r in components.components(path).collect()}
-    assert got == {k: 0 for k in range(1, n)} | {1001: 1000}
+    for hub in (components.HUB, 3):
+        got = {r.u: r.v for r in components.components(path, hub).collect()}
+        assert got == {k: 0 for k in range(1, n)} | {1001: 1000}
+
+
+def test_components_of_stars(spark):
+    stars = [(k, k % 3) for k in range(3, 600)] + [(600, 5), (601, 600)]
+    for hub in (components.HUB, 50):
+        got = {r.u: r.v for r in components.components(spark.createDataFrame(stars, "u long, v long"), hub).collect()}
+        assert got == {k: k % 3 for k in range(3, 600)} | {600: 2, 601: 2}
+
+
+@pytest.mark.parametrize("spread", ["uniform", "cluster"])
+def test_leaves_are_split_again(spark, spread):
+    """A sample of 32 points misjudges the leaves; afterwards none has more points than twice the shard's."""
+    rng = np.random.default_rng(7)
+    points = rng.integers(0, 2**63, 30_000, dtype=np.uint64)
+    if spread == "cluster":
+        points[1000:] = points[1000:] & np.uint64((1 << 22) - 1) | np.uint64(0xABCDEF << 24)
+    points = np.unique(points)
+    prints = spark.createDataFrame([(int(p),) for p in points.view(np.int64)], "fp long").repartition(3).cache()
+    tree = simhash.upper_tree(prints, len(points), 2000, sample=32)
+    sizes = np.zeros(len(tree.dense), int)
+    for leaf, rows in tree.route(points):
+        sizes[leaf] += len(rows)
+    assert max(n for n, dense in zip(sizes, tree.dense) if not dense) <= 4000 and sum(tree.dense) <= len(tree.dense) // 4
+
+
+def test_near_duplicates_under_identifiers_of_text(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(40))
+    rows = [(f"id{k:02d}", text(k // 2)) for k in range(12)] + [(None, text(3)), (None, text(9))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = simhash.near_duplicates(df).collect()
+    assert sorted((r.doc_id or "", r.component_id or "") for r in got) == sorted([(f"id{k:02d}", f"id{k // 2 * 2:02d}") for k in range(12)] + [("", "id06"), ("", "")])
+    assert sorted((r.doc_id or "", r.text) for r in simhash.drop_near_duplicates(df).collect()) == sorted([(f"id{k:02d}", text(k // 2)) for k in range(0, 12, 2)] + [("", text(9))])
 
 
 # tokens
