@@ -21,13 +21,15 @@ Decoding is the homomorphism back: the bytes of both halves are concatenated up
 Between words: a piece never goes on from a character that isn't white space into a space, so the text may be cut there
 before the pattern is matched, and units such as " word" are looked up in a bounded table of units seen before.
 
-Null text: no tokens. An identifier out of range raises ``ValueError``. Columns that clash with the output names are kept; the
-output takes a free name, see ``encode``.
+Null text: no tokens. An identifier out of range raises ``ValueError``. Repeated rows are encoded each, long texts piece by
+piece, empty tables give empty results, null identifiers of rows stay, since only the text is read. Columns that clash with the
+output names are kept; the output takes a free name, see ``encode``.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from array import array
@@ -199,14 +201,15 @@ class Codec:
         raise ValueError("an id has no token")
 
 
-_codecs: dict[int, Codec] = {}
+_codecs: dict[str, Codec] = {}
 
 
-def _codec(key: int, shared: Broadcast) -> Codec:
-    """One codec a worker process, so that units seen in one task help the next."""
+def _codec(shared: Broadcast) -> Codec:
+    """One codec a worker process, so that units seen in one task help the next. It is told by the vocabulary's content."""
+    key, ranks, pattern = shared.value
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(*shared.value)
+        _codecs[key] = Codec(ranks, pattern)
     return _codecs[key]
 
 
@@ -219,15 +222,19 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def share(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """The vocabulary of at most a few MB, read on the driver; executors need not see ``path``."""
-    return spark.sparkContext.broadcast((read_ranks(path), pattern))
+    ranks = read_ranks(path)
+    content = hashlib.sha256(pattern.encode())
+    for token, rank in sorted(ranks.items()):
+        content.update(b"%d %d %b" % (rank, len(token), token))
+    return spark.sparkContext.broadcast((content.hexdigest(), ranks, pattern))
 
 
 def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` and a column of token ids, named ``ids`` or, if that is taken, ``ids_1`` and so on."""
-    name, at, key = free_name(docs.columns, ids), docs.columns.index(text), id(vocabulary)
+    name, at = free_name(docs.columns, ids), docs.columns.index(text)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, vocabulary)
+        codec = _codec(vocabulary)
         for part in _parts(batches):
             flat, ends = array("i"), [0]
             for body in part.column(at).to_pylist():
@@ -244,10 +251,10 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
 
 def decode(rows: DataFrame, vocabulary: Broadcast, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` and a binary column with the bytes of their ids; null ids give no bytes."""
-    name, at, key = free_name(rows.columns, out), rows.columns.index(ids), id(vocabulary)
+    name, at = free_name(rows.columns, out), rows.columns.index(ids)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, vocabulary)
+        codec = _codec(vocabulary)
         for part in _parts(batches):
             flat = part.column(at).flatten().to_pylist() if part.column(at).flatten().null_count else part.column(at).flatten().to_numpy().tolist()
             ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part.column(at)), 0))).tolist()

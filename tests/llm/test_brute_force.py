@@ -281,6 +281,20 @@ def test_unknown_id(codec):
             codec.decode([1, bad])
 
 
+def test_two_vocabularies_in_one_session(spark, tmp_path):
+    """Each broadcast is used with its own codec, whatever address or order it comes in."""
+    import base64
+
+    own = tmp_path / "own.tiktoken"
+    own.write_text("".join(f"{base64.b64encode(bytes([k])).decode()} {k}\n" for k in range(256)) + f"{base64.b64encode(b'ab').decode()} 256\n")
+    docs = spark.createDataFrame([(1, "ab the abab"), (2, "bab")], "doc_id long, text string").repartition(2)
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    library = {p: tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(p), special_tokens={}) for p in (path, str(own))}
+    for p in (path, str(own), path, str(own), path):
+        got = byte_bpe.decode(byte_bpe.encode(docs, byte_bpe.share(spark, p, public_tokenizers.PATTERN)), byte_bpe.share(spark, p, public_tokenizers.PATTERN)).collect()
+        assert all(r.ids == library[p].encode_ordinary(r.text) and bytes(r.decoded) == r.text.encode() for r in got)
+
+
 # classifier
 
 
