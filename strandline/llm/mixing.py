@@ -13,31 +13,43 @@
    natural_k / weight_k. Unwanted domains don't size it: they are cut to weight_k x total where they have more, and stay as
    they are where they have less, so a scarce unwanted domain costs no clean document. A total that is given holds for all.
 
-``copies`` turns a rate into floor(rate + u), with u in [0, 1) from a seeded hash of the identifier, which keeps the expected
-total. Labels: doc_id, domain; repeated labels of a document: the largest name counts; unknown domains and null are ignored.
-Without any labelled document the posterior is uniform. Null and empty texts have no tokens; their rate follows their
-posterior. A domain without a row in the labelled sample can't be told apart or reached: it keeps the mass that posteriors
-give it (a softmax is never 0) and is left out of the default total. Without any labelled document all rates are 1.
+The texts are classified once: the rows with tokens, posterior and a draw are written as a table, which the steps and the
+result read. ``fit_rates`` returns what the targets were and what was reached; more than ``MISSED`` off is a warning with the
+figures, as where posteriors are too diffuse for the weights.
+
+``copies`` turns a rate into floor(rate + u), with u in [0, 1) a seeded hash of identifier and text, which keeps the expected
+total. Rows that agree in both have draws of their own after the first of a partition. A rate above one repeats a row; nothing
+bounds it but the targets.
+
+Labels: doc_id, domain; repeated labels of a document: the largest name counts; unknown domains and null are ignored, as are
+labels under a null identifier. Identifiers may be of any type; labels meet them as text. Null and empty texts have no tokens;
+their rate follows their posterior. Null identifiers stay. A domain without a row in the labelled sample can't be told apart or
+reached: it keeps the mass that posteriors give it (a softmax is never 0) and is left out of the default total. Without any
+labelled document the posterior is uniform and all rates are 1. Very long texts are classified one at a time. Empty tables give
+empty results. Other columns keep their values and names, whatever they are called.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WORD, free_name, materialize, text_bytes
+from .common import WORD, id_text, materialize, text_bytes, written
 
 SAMPLE_ROWS = 4000
 VOCABULARY = 1000
 MIN_TEXTS = 8
 ROUNDS = 40
-TOLERANCE = 1e-9
+TOLERANCE, MISSED = 1e-9, 0.01
 SEED = 42
 #: Target weights of the label table's domains.
 DOMAINS = ("good", "poor", "toxic")
@@ -100,10 +112,10 @@ def _fit(x: np.ndarray, y: np.ndarray, k: int, words: dict[bytes, int], steps: i
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], doc_id: str = "doc_id", text: str = "text") -> Classifier:
-    named = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("domain").alias("domain"))
+    named = labels.where(F.col("domain").isin(*domains) & F.col("doc_id").isNotNull()).groupBy(id_text("doc_id").alias("id")).agg(F.max("domain").alias("domain"))
     every = max(1, -(-named.count() // SAMPLE_ROWS))
-    picked = named.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(SEED)), F.lit(every)) == 0).select(F.col("doc_id").cast("long").alias("id"), "domain")
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    picked = named.where(F.pmod(F.xxhash64(F.col("id"), F.lit(SEED)), F.lit(every)) == 0)  # about SAMPLE_ROWS rows
+    rows = docs.select(id_text(doc_id).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     sample = materialize(rows.join(F.broadcast(picked), "id").select("domain", "text"))
     size = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
     total = sum(size.values())
@@ -130,15 +142,23 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...],
 
 
 def _annotate(model: Classifier, names: list[str]):
-    """Replaces the last column (bytes) by the number of tokens and the posterior."""
+    """Replaces the last two columns (identifier and text as bytes) by the number of tokens, the posterior and the draw."""
     k = len(model.bias)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), {}
         for batch in batches:
-            got = [model.features(raw) for raw in batch.column(batch.num_columns - 1).to_pylist()]
+            ids, texts = (batch.column(batch.num_columns - j).to_pylist() for j in (2, 1))
+            got = [model.features(raw) for raw in texts]
             p = model.posterior(np.array([g[0] for g in got])) if got else np.zeros((0, k))
+            draws = []
+            for doc, raw in zip(ids, texts):
+                key = xxhash.xxh64_intdigest((doc or b"") + b"\0" + raw, SEED)
+                times = seen[key] = seen.get(key, -1) + 1
+                own = key if not times else xxhash.xxh64_intdigest(b"%d %d %d" % (key, part, times), SEED)
+                draws.append((own >> 11) / (1 << 53))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(got) + 1) * k, k, np.int32)), pa.array(p.astype(float).ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([g[1] for g in got], pa.int64()), lists], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array([g[1] for g in got], pa.int64()), lists, pa.array(draws, pa.float64())], names)
 
     return work
 
@@ -178,12 +198,26 @@ def goals(now: np.ndarray, weights: np.ndarray, total: float | None = None, want
     return np.where(labelled, goal, now)
 
 
-def fit_rates(known: DataFrame, weights: np.ndarray, total: float | None = None, wanted: np.ndarray | None = None, labelled: np.ndarray | None = None) -> list[np.ndarray]:
-    """``known``: t, p, materialized. The steps whose fold is each document's rate."""
+@dataclass
+class Fit:
+    """The steps whose fold is each document's rate, with the expected tokens of each domain that were sought and reached."""
+
+    steps: list[np.ndarray]
+    goal: np.ndarray
+    reached: np.ndarray
+
+    @property
+    def missed(self) -> float:
+        """Sum of the differences, as a share of the total."""
+        return float(np.abs(self.reached - self.goal).sum() / max(1e-300, self.goal.sum()))
+
+
+def fit_rates(known: DataFrame, weights: np.ndarray, total: float | None = None, wanted: np.ndarray | None = None, labelled: np.ndarray | None = None) -> Fit:
+    """``known``: t, p, materialized."""
     k = len(weights)
     now, h = _totals(known, [], k)
     if not now.sum():
-        return []
+        return Fit([], now, now)
     goal, steps, length = goals(now, weights, total, wanted, labelled), [], 1.0
     for _ in range(ROUNDS):
         error = now - goal
@@ -197,37 +231,38 @@ def fit_rates(known: DataFrame, weights: np.ndarray, total: float | None = None,
             break
         else:
             length /= 2
-    return steps
+    fit = Fit(steps, goal, now)
+    if fit.missed > MISSED:
+        warnings.warn(f"target weights missed by {fit.missed:.1%}: sought {goal.round().tolist()} tokens, reached {now.round().tolist()}", stacklevel=2)
+    return fit
 
 
-def _mixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], weights: tuple[float, ...], total: float | None, doc_id: str, text: str) -> tuple[DataFrame, list[str], Column]:
-    """``docs`` by position, with the columns t, p and the expression of the rate."""
-    target = np.array(weights, float) / sum(weights)
+def _mixed(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...], weights: tuple[float, ...], total: float | None, doc_id: str, text: str, keep: list[str]) -> tuple[DataFrame, list[str]]:
+    """The columns ``keep`` of ``docs`` by position, with t, p, u and rate, and the names by position."""
     model = fit_classifier(docs, labels, domains, doc_id, text)
-    own = [f"c{k}" for k in range(len(docs.columns))]
-    flat = docs.toDF(*own)
-    rows = flat.select(*own, text_bytes(own[docs.columns.index(text)]).alias("body"))
-    extra = [StructField("t", LongType()), StructField("p", ArrayType(DoubleType()))]
-    known = materialize(rows.select("body").mapInArrow(_annotate(model, ["t", "p"]), StructType(extra)))
-    steps = fit_rates(known, target, total, np.array([d not in UNWANTED for d in domains]), model.seen > 0)
-    return rows.mapInArrow(_annotate(model, [*own, "t", "p"]), StructType([*flat.schema.fields, *extra])), own, _rate("p", steps)
+    flat = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    of = lambda name: f"c{docs.columns.index(name)}"
+    own = [of(name) for name in keep]
+    rows = flat.select(*own, id_text(of(doc_id)).cast("binary").alias("id"), text_bytes(of(text)).alias("body"))
+    extra = [StructField("t", LongType()), StructField("p", ArrayType(DoubleType())), StructField("u", DoubleType())]
+    known = written(rows.mapInArrow(_annotate(model, [*own, "t", "p", "u"]), StructType([*rows.schema.fields[:-2], *extra])))
+    fit = fit_rates(known.select("t", "p"), np.array(weights, float) / sum(weights), total, np.array([d not in UNWANTED for d in domains]), model.seen > 0)
+    return known.withColumn("rate", _rate("p", fit.steps)), own
 
 
-def copies(rate: str, doc_id: Column) -> Column:
-    share = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(SEED)), 11)) / F.lit(float(1 << 53))
-    return F.floor(F.col(rate) + share).cast("int")
+def copies(rate: str, draw: str) -> Column:
+    return F.floor(F.col(rate) + F.col(draw)).cast("int")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, weights: tuple[float, ...] = TARGETS, total: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, p_<domain>..., rate, copies."""
-    rows, own, rate = _mixed(docs.select(doc_id, text), labels, domains, weights, total, doc_id, text)
-    rows = rows.select(F.col(own[0]).alias("doc_id"), F.col("t").alias("n_tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), rate.alias("rate"))
-    return rows.withColumn("copies", copies("rate", F.col("doc_id").cast("long")))
+    rows, own = _mixed(docs, labels, domains, weights, total, doc_id, text, [doc_id])
+    posteriors = [F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)]
+    return rows.select(F.col(own[0]).alias("doc_id"), F.col("t").alias("n_tokens"), *posteriors, "rate", copies("rate", "u").alias("copies"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...] = DOMAINS, weights: tuple[float, ...] = TARGETS, total: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row of ``docs`` as often as its rate says, columns unchanged."""
-    rows, own, rate = _mixed(docs, labels, domains, weights, total, doc_id, text)
-    times = copies("rate", F.col(own[docs.columns.index(doc_id)]).cast("long"))
-    kept = rows.withColumn("rate", rate).withColumn("times", times).where("times > 0")
-    return kept.select(*own, F.explode(F.sequence(F.lit(1), "times"))).select(*own).toDF(*docs.columns)
+    rows, own = _mixed(docs, labels, domains, weights, total, doc_id, text, docs.columns)
+    kept = rows.withColumn("times", copies("rate", "u")).where("times > 0")
+    return kept.select(*own, F.explode(F.sequence(F.lit(1), "times")).alias("k")).select(*own).toDF(*docs.columns)

@@ -452,17 +452,61 @@ def test_rates_meet_targets(spark):
     known = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "t long, p array<double>")
     for weights in ((0.6, 0.3, 0.1), (0.98, 0.01, 0.01)):
         w = np.array(weights)
-        steps = mixing.fit_rates(known, w)
-        rates = np.array([r[0] for r in known.select(mixing._rate("p", steps)).collect()])
+        fit = mixing.fit_rates(known, w)
+        rates = np.array([r[0] for r in known.select(mixing._rate("p", fit.steps)).collect()])
         now = np.array([r.t for r in known.collect()]) * rates @ np.array([r.p for r in known.collect()])
         assert (rates >= 0).all()
-        assert now / now.sum() == pytest.approx(w, abs=0.01)
+        assert now / now.sum() == pytest.approx(w, abs=0.01) and now == pytest.approx(fit.reached)
+
+
+def test_missed_targets_are_reported(spark):
+    """All posteriors agree, so no rates reach other shares; the fit says so."""
+    known = spark.createDataFrame([(10, [0.6, 0.4])] * 20, "t long, p array<double>")
+    with pytest.warns(UserWarning, match="missed by"):
+        fit = mixing.fit_rates(known, np.array([0.1, 0.9]), 200.0)
+    assert fit.missed > 0.1 and fit.goal == pytest.approx([20, 180])
+
+
+def _plain_rates(t, p, goal):
+    """The same projected steps with plain loops."""
+    rates, step_length, k = [1.0] * len(t), 1.0, len(goal)
+    totals = lambda r: np.array([sum(r[d] * t[d] * p[d][j] for d in range(len(t))) for j in range(k)])
+    now = totals(rates)
+    for _ in range(mixing.ROUNDS):
+        error = now - goal
+        if np.abs(error).sum() <= mixing.TOLERANCE * goal.sum():
+            break
+        h = np.array([[sum(t[d] * p[d][a] * p[d][b] for d in range(len(t)) if rates[d] > 0) for b in range(k)] for a in range(k)])
+        step = step_length * np.linalg.solve(h + 1e-9 * np.trace(h) * np.eye(k), error)
+        tried = [max(0.0, r - float(np.dot(p[d], step))) for d, r in enumerate(rates)]
+        then = totals(tried)
+        if (then - goal) @ (then - goal) < error @ error:
+            rates, now, step_length = tried, then, min(1.0, 2 * step_length)
+        else:
+            step_length /= 2
+    return rates
+
+
+def test_query_equals_plain_rates(spark):
+    """Rates, copies and totals of the registered query, recomputed from its posteriors on the whole small table."""
+    got = driver.queries()["op1_mixing"](spark, SF).collect()
+    t, p = [r.n_tokens for r in got], [[r[f"p_{d}"] for d in mixing.DOMAINS] for r in got]
+    now = np.array([sum(a * b[j] for a, b in zip(t, p)) for j in range(3)])
+    goal = mixing.goals(now, np.array(mixing.TARGETS), None, np.array([True, False, False]))
+    assert [r.rate for r in got] == pytest.approx(_plain_rates(t, p, goal), abs=1e-6)
+    assert all(math.floor(r.rate) <= r.copies <= math.floor(r.rate) + 1 for r in got)
+    reached = np.array([sum(r.rate * r.n_tokens * q[j] for r, q in zip(got, p)) for j in range(3)])
+    assert reached == pytest.approx(goal, rel=1e-3)
+    assert sum(r.copies * r.n_tokens for r in got) == pytest.approx(goal.sum(), rel=0.05)
 
 
 def test_copies_follow_rates(spark):
-    rows = spark.range(20_000).withColumn("rate", F.lit(0.3) + (F.col("id") % 3))
-    got = rows.groupBy((F.col("id") % 3).alias("k")).agg(F.avg(mixing.copies("rate", F.col("id"))).alias("m")).collect()
-    assert all(abs(r.m - (0.3 + r.k)) < 0.02 for r in got)
+    """Repeated rows and rows without identifiers draw on their own."""
+    model = mixing.Classifier({}, np.zeros(256), np.ones(256), np.zeros((256, 2)), np.zeros(2))
+    for doc in (None, b"7"):
+        rows = spark.createDataFrame([(doc, b"same text")] * 20_000, "id binary, body binary").repartition(4)
+        drawn = rows.mapInArrow(mixing._annotate(model, ["t", "p", "u"]), "t long, p array<double>, u double").withColumn("rate", F.lit(1.3))
+        assert abs(drawn.agg(F.avg(mixing.copies("rate", "u")).alias("m")).first().m - 1.3) < 0.02
 
 
 @pytest.mark.parametrize("toxic", [0, 3])
