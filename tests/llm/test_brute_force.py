@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -335,6 +336,34 @@ def _forward(net, rows):
     return 1 / (1 + np.exp(-(np.concatenate([h.max(0), h.mean(0)]) @ p["out"] + p["out_bias"][0])))
 
 
+def test_scores_equal_plain_convolutions(spark):
+    """Scores of whole texts by loops over chunks, sites and filters."""
+    sf, net = "/root/testdata/sf0.001", byte_cnn.Network()
+    net.p["out"] = np.random.default_rng(1).standard_normal(len(net.p["out"]))
+    docs = spark.createDataFrame([(1, "short"), (2, None), (3, "x y " * 400)], "doc_id long, text string").union(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(3))
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    texts = [(r.text or "").encode() for r in docs.collect()]
+    for raw, r in zip(texts, byte_cnn.score(docs, net).collect()):
+        hidden = []
+        for at in range(0, max(1, len(raw) - byte_cnn.CHUNK + byte_cnn.STEP), byte_cnn.STEP):
+            part = raw[at:at + byte_cnn.CHUNK].ljust(byte_cnn.CHUNK, b"\0")
+            sites = [np.concatenate([p["vectors"][b] for b in part[k:k + byte_cnn.WIDTH]]) for k in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE)]
+            pooled = np.maximum(np.max([s @ p["filters"] for s in sites], 0) + p["filter_bias"], 0)
+            hidden.append(np.maximum(pooled @ p["hidden"] + p["hidden_bias"], 0))
+        z = np.concatenate([np.max(hidden, 0), np.mean(hidden, 0)]) @ p["out"] + p["out_bias"][0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-min(30, max(-30, z)))), abs=1e-4)
+
+
+def test_training_reads_whole_texts():
+    """A mark behind the first 40 chunks of long texts decides the label."""
+    rnd = random.Random(5)
+    body = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    texts = [(body(10_000) + ("ZZZZZZZZ" if k % 2 else "") + body(200)).encode() for k in range(60)]
+    net = byte_cnn.Network()
+    net.fit(texts, np.array([float(k % 2) for k in range(60)]), 60)
+    assert np.mean([(s >= 0.5) == (k % 2 == 1) for k, s in enumerate(net.scores(texts))]) >= 0.95
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 255, 256, 257, 480, 481, 5000):
         starts = byte_cnn.chunk_starts(n)
@@ -663,14 +692,77 @@ def test_written_shards(spark, docs, tmp_path):
 # pipeline
 
 
+def plain_lines(text):
+    low = str.maketrans(dict(zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    return [(line, " ".join(re.findall(r"[^\x20\x09-\x0D]+", line.translate(low)))) for line in (text or "").split("\n")]
+
+
+def plain_quality(rows):
+    """(key, source, text) of accepted rows, texts without frequent lines, by plain sets of distinct texts."""
+    with_line = defaultdict(set)
+    for _, host, text in rows:
+        for _, norm in plain_lines(text):
+            if norm:
+                with_line[host, norm].add(text or "")
+    out = []
+    for key, host, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        windows = Counter(zip(words, words[1:], words[2:]))
+        repeated = {j for k, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for j in (k, k + 1, k + 2)}
+        gone = {norm for _, norm in plain_lines(text) if norm and len(with_line[host, norm]) > quality_rules.LIMIT}
+        left = len(words) - sum(len(norm.split(" ")) for _, norm in plain_lines(text) if norm in gone)
+        if len(words) >= 50 and 100 * len(repeated) <= 50 * len(words) and left >= 50 and left >= 0.3 * len(words):
+            out.append((key, host, "\n".join(line for line, norm in plain_lines(text) if not norm or norm not in gone) if gone else text))
+    return out
+
+
+def plain_exact(rows):
+    space, best = str.maketrans("", "", " \t\n\x0b\x0c\r"), {}
+    for row in rows:
+        rank = (-len(row[2] or ""), row[0] is None, row[0] or 0)
+        key = (row[2] or "").translate(space)
+        if key not in best or rank < best[key][0]:
+            best[key] = rank, row
+    return [row for _, row in best.values()]
+
+
+def plain_near(rows):
+    prints = {k: plain_fingerprint(text) for k, (_, _, text) in enumerate(rows)}
+    classes = defaultdict(list)
+    for k, root in plain_components(prints).items():
+        classes[root].append(k)
+    return [min((rows[k] for k in own), key=lambda r: (r[0] is None, r[0] or 0, plain_fingerprint(r[2]) - (1 << 64) * (plain_fingerprint(r[2]) >> 63), (r[2] or "").encode())) for own in classes.values()]
+
+
+def test_stages_by_value(spark, docs, tmp_path):
+    """The first three stages, each on what its predecessor kept, with repeated and null identifiers, against plain versions."""
+    rows = [(r.doc_id, r.source, r.text) for r in docs.collect()]
+    line = "a line of the host that is on many pages"
+    rows += [(None, "h", " ".join(f"n{k // 2}w{j}" for j in range(70 + k % 2))) for k in range(10)] + [(k % 3, "h", line + "\n" + " ".join(f"r{k}w{j}" for j in range(70))) for k in range(30)]
+    rows += [(500 + k, "h", line + "\n" + " ".join(f"s{k}w{j}" for j in range(45))) for k in range(5)] + [(None, None, None), (None, "h", "")]
+    now = spark.createDataFrame([(i, t, "en", h, len(t or "")) for i, h, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for (_, stage), plain in zip(corpus_pipeline.STAGES, (plain_quality, plain_exact, plain_near)):
+        stage(spark, now, SF).write.parquet(f"{tmp_path}/{plain.__name__}")
+        now = spark.read.parquet(f"{tmp_path}/{plain.__name__}")
+        rows = plain(rows)
+        got = Counter((r.doc_id, r.source, r.text) for r in now.collect())
+        assert got == Counter(rows), plain.__name__
+        assert all(r.n_chars == len(r.text or "") for r in now.collect())
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and out.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"]
+
+
 def test_pipeline(spark, docs):
     got = corpus_pipeline.run(spark, SF).collect()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
-    texts = {r.doc_id: r.text for r in docs.collect()}
-    verdicts = {r.doc_id: r.kept for r in quality_rules.judge(docs).collect()}
-    good = docs.where(F.col("doc_id").isin([d for d, k in verdicts.items() if k]))
-    unique = {r.doc_id for r in exact_dedup.exact_duplicates(good).collect() if r.kept}
-    prints = {d: plain_fingerprint(texts[d]) for d in sorted(unique)}
-    single = set(plain_components(prints).values())
-    assert got and {r.doc_id for r in got} <= single
-    assert all(r.ids == library.encode_ordinary(r.text) and r.text == texts[r.doc_id] for r in got)
+    single = {(i, t) for i, _, t in plain_near(plain_exact(plain_quality([(r.doc_id, r.source, r.text) for r in docs.collect()])))}
+    quality = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    kept = {(r.doc_id, r.text) for r in got}
+    assert kept <= single and all(r.ids == library.encode_ordinary(r.text) for r in got)
+    clean = {x for x in single if quality.get(x[0]) == (1, 0)}
+    assert len(clean & kept) >= 0.95 * len(clean)
