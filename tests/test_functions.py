@@ -1,6 +1,8 @@
 """Scalar rules and routing on tables of cases."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,17 +116,85 @@ def test_output_text(spark):
     assert values(spark, ['{"body": {"model": "m"}}', "x"], responses.request_model) == ["m", None]
 
 
-def test_partial_ratio():
-    for a, b, v in (("net", "network", 100), ("", "", 100), ("", "a", 0), ("abc", "xabyc", 200 * 2 / 6), ("abcd", "abcd", 100), ("ab", "ba", 200 * 1 / 3)):
-        assert fuzzy.partial_ratio(a, b) == pytest.approx(v), (a, b)
-        assert fuzzy.partial_ratio(a, b) == fuzzy.partial_ratio(b, a)
+def plain_partial_ratio(a, b):
+    """By the definition: every window of the longer text, each with a table of common subsequences."""
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            diagonal = 0
+            for k, d in enumerate(y, 1):
+                diagonal, row[k] = row[k], diagonal + 1 if c == d else max(row[k], row[k - 1])
+        return row[-1]
 
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return 100.0 if not long else 0.0
+    n, m = len(short), len(long)
+    best = max(200 * common(short, w) / (n + len(w)) for w in {long[max(0, k):k + n] for k in range(1 - n, m)})
+    return best if n != m else max(best, max(200 * common(long, w) / (n + len(w)) for w in {short[max(0, k):k + n] for k in range(1 - n, n)}))
 
-def test_labels():
+
+def test_partial_ratio():
+    for a, b, v in (("net", "network", 100), ("", "", 100), ("", "a", 0), ("abc", "xabyc", 200 * 2 / 6), ("abcd", "abcd", 100), ("ab", "ba", 200 / 3)):
+        assert fuzzy.partial_ratio(a, b) == pytest.approx(max(v, plain_partial_ratio(a, b))), (a, b)
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choices("abcé日", k=n))
+    pairs = [(word(rnd.randint(0, 14)), word(rnd.randint(0, 20))) for _ in range(400)] + [(word(70), word(75)), (word(64), word(3)), (word(63), word(64))]
+    got = fuzzy.partial_ratios(*zip(*pairs))
+    assert got == pytest.approx([plain_partial_ratio(a, b) for a, b in pairs])
+    assert got == pytest.approx(fuzzy.partial_ratios(*zip(*((b, a) for a, b in pairs))))
+
+
+def plain_label(line, taxonomy, form):
+    """The label that a line stands for, all labels scored with all parts."""
+    import difflib
+
+    top = lambda x: form[x.split(" - ", 1)[0]]
+    words = lambda x: [w for w in re.split("[ ,-]+", form[x]) if w]
+    best = None
+    for k, label in enumerate(taxonomy):
+        a, b, wa, wb = form[line], form[label], words(line), words(label)
+        lead = next((i for i, (x, y) in enumerate(zip(wa, wb)) if x != y), min(len(wa), len(wb)))
+        prefix = lead / min(len(wa), len(wb)) if wa and wb else 0
+        short, long = sorted((a, b), key=len)
+        contain = len(short) / len(long) if short and short in long else 0
+        bonus = 0 if " - " not in line else fuzzy.SAME_TOP if top(line) == top(label) else fuzzy.OTHER_TOP
+        score = 0.45 * prefix + 0.25 * contain + 0.2 * difflib.SequenceMatcher(None, a, b).ratio() + 0.1 * len(set(wa) & set(wb)) / max(1, len(set(wa) | set(wb))) + bonus
+        if a == b:
+            return label
+        if best is None or score > best[0]:
+            best = score, max(prefix, contain), label
+    return best[2] if best[0] >= 0.72 or best[1] >= 0.78 else None
+
+
+def extracted(spark, texts, taxonomy):
+    labels = spark.createDataFrame(list(enumerate(taxonomy)), "ordinal int, label string")
+    return {r.t: r.labels for r in fuzzy.extract_labels(spark.createDataFrame([(t,) for t in texts], "t string"), "t", labels, "label").collect()}
+
+
+def test_labels(spark):
     taxonomy = ["Media - Radio", "Media - Television", "Finance & Banks", "Health - Hospitals"]
-    assert fuzzy.extract_labels("1. media - radio\n2) Finance and Banks", taxonomy) == ["Media - Radio", "Finance & Banks"]
-    assert fuzzy.extract_labels("- Health - Hospital", taxonomy) == ["Health - Hospitals"]
-    assert fuzzy.extract_labels("", taxonomy) == fuzzy.extract_labels(None, taxonomy) == []
+    cases = {
+        "1. media - radio\n2) Finance and Banks": ["Media - Radio", "Finance & Banks"], "- Health - Hospital": ["Health - Hospitals"], "": [],
+        'see "Media – Televisions" and ﬁnance & banks': ["Media - Television", "Finance & Banks"], "Resulting categories: health hospitals": [], "radio": [],
+    }
+    assert extracted(spark, [*cases, None], taxonomy) == cases
+
+
+def test_lines_get_the_best_of_all_labels(spark):
+    """Pruning by bounds loses no label: random lines against scores of every pair."""
+    rnd = random.Random(8)
+    words = ["media", "radio", "tv", "bank", "banks", "finance", "health", "care", "school", "online", "service", "services"]
+    phrase = lambda: " - ".join(" ".join(rnd.choices(words, k=rnd.randint(1, 3))) for _ in range(rnd.randint(1, 2)))
+    taxonomy = list(dict.fromkeys(phrase() for _ in range(40)))
+    lines = list(dict.fromkeys(x for x in (phrase() + rnd.choice(["", "s", " x"]) for _ in range(200)) if len(re.split("[ -]+", x)) > 1))
+    forms = {x.t: x.f for x in spark.createDataFrame([(x,) for x in {*taxonomy, *lines, *(y.split(" - ", 1)[0] for y in [*taxonomy, *lines])}], "t string").select("t", fuzzy.normal_form(F.col("t")).alias("f")).collect()}
+    got = extracted(spark, lines, taxonomy)
+    for line in lines:
+        direct = [x for x in taxonomy if x in line]
+        want = plain_label(line, taxonomy, forms)
+        assert got[line] == list(dict.fromkeys(direct + [x for x in taxonomy if forms[x] in forms[line]] + ([want] if want else []))), line
 
 
 def test_prior_classes(spark):
