@@ -158,12 +158,45 @@ def id_set_fingerprint(ids: str) -> Column:
     return F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(ids).cast("string"))), "\n"), 256)
 
 
+#: Days of a directory listing that are gathered into one array.
+MOST_DAYS = 100_000
+
+
 def nearest_snapshot(wanted: DataFrame, day: str, snapshots: DataFrame, snapshot: str) -> DataFrame:
     """Each wanted day with the nearest snapshot: of the same month if there is one, else of any; of equals the earlier.
 
-    ``snapshots`` are the distinct days of a directory listing, a table of bounded size that is gathered into one array.
+    Only distinct wanted days meet the snapshots, whose distinct days may be ``MOST_DAYS``, by two binary searches each: the last
+    snapshot up to the day and the first from it on are the nearest of all, and of the same month if any is.
+    """
+    days = snapshots.select(F.col(snapshot).alias("d")).where("d is not null").distinct()
+    if (n := days.limit(MOST_DAYS + 1).count()) > MOST_DAYS:
+        raise ValueError(f"at most {MOST_DAYS} snapshot days, not {n}")
+    ask = wanted.select(F.col(day).alias("d")).where("d is not null").distinct()
+    both = ask.select("d", F.lit(None).cast("date").alias("s")).union(days.select("d", F.col("d").cast("date").alias("s")))
+    order = Window.orderBy("d")  # distinct days only, bounded by the calendar
+    near = both.select("d", "s", F.last("s", True).over(order.rangeBetween(Window.unboundedPreceding, 0)).alias("a"), F.first("s", True).over(order.rangeBetween(0, Window.unboundedFollowing)).alias("b")).where("s is null")
+    cost = lambda c: F.when(F.col(c).isNotNull(), F.struct((F.trunc(c, "month") != F.trunc("d", "month")).alias("other"), F.abs(F.date_diff(c, F.col("d"))).alias("far"), F.col(c).alias("s")))
+    best = near.select(F.col("d").alias("__d"), F.least(cost("a"), cost("b"))["s"].alias(snapshot)).distinct()
+    return wanted.join(best, F.col(day) == F.col("__d"), "left").drop("__d")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, words: str, least: float) -> DataFrame:
+    """left_key, right_key, jaccard of pairs whose sets of words have a Jaccard similarity of ``least`` or more (above 0).
+
+    Words are ordered by how many rows of the right side have them, rare ones first. Sets of size a and b with that similarity
+    share one of the first a - ceil(least * a) + 1 words of the one and of the first words of the other, so the equi-join on these
+    finds all pairs without joining on common words; pairs found are verified by their whole sets.
     """
-    days = snapshots.select(snapshot).distinct().agg(F.array_sort(F.collect_set(snapshot)).alias("all"))
-    cost = lambda d: F.struct((F.trunc(d, "month") != F.trunc(F.col(day), "month")).alias("other"), F.abs(F.date_diff(d, F.col(day))).alias("far"), d.alias("d"))
-    joined = wanted.crossJoin(F.broadcast(days))
-    return joined.withColumn(snapshot, F.array_min(F.transform("all", cost))["d"]).drop("all")
+    counts = right.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+    def first_words(df: DataFrame, key: str, name: str) -> DataFrame:
+        rows = df.select(F.col(key).alias(name), F.explode(words).alias("word")).join(counts, "word", "left")
+        own = rows.groupBy(name).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word"))).alias("w"))
+        many = (F.size("w") - F.ceil(F.size("w") * least - 1e-9) + 1).cast("int")
+        return own.select(name, F.explode(F.transform(F.slice("w", F.lit(1), many), lambda x: x["word"])).alias("word"))
+
+    found = first_words(left, left_key, "l").join(first_words(right, right_key, "r"), "word").select("l", "r").distinct()
+    met = found.join(left.select(F.col(left_key).alias("l"), F.col(words).alias("a")), "l").join(right.select(F.col(right_key).alias("r"), F.col(words).alias("b")), "r")
+    shared = F.size(F.array_intersect("a", "b"))
+    jaccard = shared / (F.size("a") + F.size("b") - shared)
+    return met.select(F.col("l").alias(left_key), F.col("r").alias(right_key), jaccard.alias("jaccard")).where(F.col("jaccard") >= least)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.functions import texts, urls
+from strandline.functions import fuzzy, texts, urls
 from strandline.operators import crawl, quality, registry, relational, routing
 from strandline.plans import website
 
@@ -99,15 +99,15 @@ def suffix_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS (SELECT page_id, {NO_WWW} AS host, regexp_extract({NO_WWW}, '([^.]+\\.[^.]+)$', 1) AS domain, lower(regexp_replace(regexp_replace(url, '^(?i)https?://', ''), '/+$', '')) AS k FROM pages),
-a AS (SELECT k, min('page ' || page_id) AS v FROM p WHERE page_id % 3 = 0 GROUP BY 1), b AS (SELECT host, min('host ' || page_id) AS v FROM p WHERE page_id % 5 = 0 GROUP BY 1),
-c AS (SELECT domain, min('domain ' || page_id) AS v FROM p WHERE page_id % 7 = 0 GROUP BY 1)
+WITH p AS (SELECT page_id, url, {NO_WWW} AS host, regexp_extract({NO_WWW}, '([^.]+\\.[^.]+)$', 1) AS domain, lower(regexp_replace(regexp_replace(url, '^(?i)https?://', ''), '/+$', '')) AS k FROM pages),
+a AS (SELECT k, min('page ' || page_id) AS v FROM p WHERE contains(url, 'utm_source') GROUP BY 1), b AS (SELECT host, min('host ' || page_id) AS v FROM p WHERE contains(url, '.html') GROUP BY 1),
+c AS (SELECT domain, min('domain ' || page_id) AS v FROM p WHERE contains(url, '#') GROUP BY 1)
 SELECT page_id, coalesce(a.v, b.v, c.v, 'Unknown_ASN') AS owner FROM p LEFT JOIN a USING (k) LEFT JOIN b USING (host) LEFT JOIN c USING (domain)""")
 def fallback_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The first hit among URL, host and domain tables."""
-    p = pages_with_host(spark, d).select("page_id", "host", urls.rough_domain(F.col("url")).alias("domain"), urls.url_key(F.col("url")).alias("k"))
-    part = lambda n, c, w: p.where(F.col("page_id") % n == 0).select(F.col(c).alias("on"), F.concat(F.lit(w), F.col("page_id")).alias("v"))
-    lookups = [(F.col("k"), part(3, "k", "page "), "on", "v"), (F.col("host"), part(5, "host", "host "), "on", "v"), (F.col("domain"), part(7, "domain", "domain "), "on", "v")]
+    p = pages_with_host(spark, d).select("page_id", "url", "host", urls.rough_domain(F.col("url")).alias("domain"), urls.url_key(F.col("url")).alias("k"))
+    part = lambda mark, c, w: p.where(F.contains("url", F.lit(mark))).select(F.col(c).alias("on"), F.concat(F.lit(w), F.col("page_id")).alias("v"))
+    lookups = [(F.col("k"), part("utm_source", "k", "page "), "on", "v"), (F.col("host"), part(".html", "host", "host "), "on", "v"), (F.col("domain"), part("#", "domain", "domain "), "on", "v")]
     return relational.fallback_lookup(p, lookups, "owner", "Unknown_ASN").select("page_id", "owner")
 
 
@@ -149,11 +149,26 @@ def redirect_classify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", urls.classify_redirect(F.col("url"), final).alias("c")).select("page_id", "c.*")
 
 
-@query(f"SELECT page_id, {HOST} IN ('example.org', 'sub.example.com') OR ends_with({HOST}, '.example.org') OR ends_with({HOST}, '.sub.example.com') AS listed, false AS middlebox, false AS internal FROM pages")
+_SEEN = "CASE WHEN contains(url, 'blog.') THEN 'https://challenges.cloudflare.com/' || page_id WHEN contains(url, '//m.') THEN ' About:blank' WHEN contains(url, '#top') THEN 'https://www.facebook.com/x' WHEN contains(url, '/es/') THEN 'https://db.ripe.net/y' WHEN contains(url, '/de/') THEN '' ELSE url END"
+_SEEN_HOST = "lower(regexp_replace(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1), ':[0-9]*$', ''))"
+
+
+def _under(domains: tuple[str, ...]) -> str:
+    return "regexp_matches(" + _SEEN_HOST + ", '(^|\\.)(" + "|".join(x.replace(".", "\\.") for x in domains) + ")$')"
+
+
+@query(f"""
+SELECT page_id, {_under(urls.REGISTRY_DOMAINS)} AS registry, {_under(urls.SOCIAL_DOMAINS)} AS social, {' OR '.join(f"contains(lower(u), '{m}')" for m in urls.MIDDLEBOX_MARKERS)} AS middlebox,
+       trim(u) = '' OR regexp_matches(lower(trim(u)), '^(chrome-error:|about:|data:|file:|javascript:)') AS internal, CASE WHEN page_id % 7 < 3 THEN 'accessible' WHEN page_id % 7 < 6 THEN 'blocked' ELSE 'none' END AS reach
+FROM (SELECT page_id, {_SEEN} AS u FROM pages)""")
 def url_predicates(spark: SparkSession, d: str) -> DataFrame:
-    """Site lists, middleboxes, internal addresses."""
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", urls.under_any(u, ("example.org", "sub.example.com")).alias("listed"), urls.contains_any(u, urls.MIDDLEBOX_MARKERS).alias("middlebox"), urls.is_internal(u).alias("internal"))
+    """Registry and social sites, middleboxes, internal addresses, classes of status, on what a browser ended at."""
+    u = F.col("u")
+    status = F.element_at(F.array(*(F.lit(x) for x in (200, 301, 399, 401, 403, 429, 500))), (F.col("page_id") % 7 + 1).cast("int"))
+    reach = F.when(urls.is_accessible(status), "accessible").when(urls.is_blocked(status), "blocked").otherwise("none")
+    return table(spark, d, "pages").select("page_id", F.expr(_SEEN).alias("u")).select(
+        "page_id", urls.under_any(u, urls.REGISTRY_DOMAINS).alias("registry"), urls.under_any(u, urls.SOCIAL_DOMAINS).alias("social"), urls.contains_any(u, urls.MIDDLEBOX_MARKERS).alias("middlebox"), urls.is_internal(u).alias("internal"), reach.alias("reach"),
+    )
 
 
 # Registries, maps and merges
@@ -196,44 +211,44 @@ def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT user_id, user_id % 10 AS org, event_type FROM events WHERE event_id % 50 = 0),
-h AS (SELECT org, event_type, list_sort(list(DISTINCT user_id::VARCHAR)) AS h FROM s GROUP BY 1, 2), u AS (SELECT DISTINCT user_id, org FROM s)
-SELECT u.user_id, h.event_type, 'Inherit from ' || array_to_string(h.h, ', ') AS note FROM u JOIN h USING (org) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = u.user_id AND s.event_type = h.event_type)""")
+WITH s AS (SELECT DISTINCT c_custkey, c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
+h AS (SELECT c_nationkey, o_orderpriority, list_sort(list(DISTINCT c_custkey::VARCHAR)) AS h FROM s GROUP BY 1, 2), u AS (SELECT DISTINCT c_custkey, c_nationkey FROM s)
+SELECT u.c_custkey, h.o_orderpriority, 'Inherit from ' || array_to_string(h.h, ', ') AS note FROM u JOIN h USING (c_nationkey) WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.c_custkey = u.c_custkey AND s.o_orderpriority = h.o_orderpriority)""")
 def sibling_inherit(spark: SparkSession, d: str) -> DataFrame:
     """Labels from members of the same group."""
-    held = table(spark, d, "events").where("event_id % 50 = 0").select("user_id", (F.col("user_id") % 10).alias("org"), "event_type")
-    return relational.inherit_within_group(held, "user_id", "org", "event_type")
+    held = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "c_nationkey", "o_orderpriority")
+    return relational.inherit_within_group(held, "c_custkey", "c_nationkey", "o_orderpriority")
 
 
 @query("""
-WITH a AS (SELECT user_id, arg_min(event_type, event_id) AS t, count(*) % 2 AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, arg_min(event_type, event_id) AS t, count(*) % 2 AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+WITH a AS (SELECT user_id, arg_min(event_type, event_id) AS t, count(*) % 2 AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1), b AS (SELECT user_id, arg_min(event_type, event_id) AS t, count(*) % 2 AS n FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY 1)
 SELECT coalesce(a.user_id, b.user_id) AS user_id, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'gone' WHEN a.t = b.t AND a.n = b.n THEN 'same' ELSE 'changed' END AS outcome FROM a FULL JOIN b ON a.user_id = b.user_id""")
 def identity_reuse(spark: SparkSession, d: str) -> DataFrame:
-    """Identities compared across snapshots."""
+    """Identities compared across two overlapping periods."""
     events = table(spark, d, "events")
-    side = lambda n: events.where(F.col("event_id") % n == 0).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("t"), (F.count("*") % 2).alias("n"))
-    return relational.identity_reuse(side(2), side(3), "user_id", ["t", "n"])
+    side = lambda period: events.where(period).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("t"), (F.count("*") % 2).alias("n"))
+    return relational.identity_reuse(side("ts < '2024-01-16'"), side("ts >= '2024-01-10'"), "user_id", ["t", "n"])
 
 
 @query("""
-SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'fallback' WHEN c_custkey % 3 = 0 THEN 'wiki' WHEN c_custkey % 2 = 0 THEN 'site' END AS source,
-       CASE WHEN c_custkey % 5 = 0 THEN c_mktsegment WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) WHEN c_custkey % 2 = 0 THEN c_name END AS value
-FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 3 = 0 OR c_custkey % 2 = 0""")
+SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN 'fallback' WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'wiki' WHEN c_acctbal > 2000 THEN 'site' END AS source,
+       CASE WHEN c_nationkey < 5 THEN c_mktsegment WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN lower(c_mktsegment) WHEN c_acctbal > 2000 THEN c_name END AS value
+FROM customer WHERE c_nationkey < 5 OR c_mktsegment IN ('BUILDING', 'MACHINERY') OR c_acctbal > 2000""")
 def precedence_merge(spark: SparkSession, d: str) -> DataFrame:
     """A later part replaces the record."""
     c = table(spark, d, "customer")
-    part = lambda n, name, value: c.where(F.col("c_custkey") % n == 0).select("c_custkey", F.lit(name).alias("source"), value.alias("value"))
-    return relational.precedence_merge([part(2, "site", F.col("c_name")), part(3, "wiki", F.lower("c_mktsegment")), part(5, "fallback", F.col("c_mktsegment"))], "c_custkey")
+    part = lambda which, name, value: c.where(which).select("c_custkey", F.lit(name).alias("source"), value.alias("value"))
+    return relational.precedence_merge([part("c_acctbal > 2000", "site", F.col("c_name")), part("c_mktsegment IN ('BUILDING', 'MACHINERY')", "wiki", F.lower("c_mktsegment")), part("c_nationkey < 5", "fallback", F.col("c_mktsegment"))], "c_custkey")
 
 
 @query("""
-SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN nullif(c_mktsegment, 'BUILDING') END, CASE WHEN c_custkey % 2 = 0 THEN c_name END) AS url, CASE WHEN c_custkey % 3 = 0 THEN 3 ELSE 2 END AS n
-FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+SELECT c_custkey, coalesce(CASE WHEN c_nationkey < 12 THEN nullif(c_mktsegment, 'BUILDING') END, CASE WHEN c_acctbal > 0 THEN c_name END) AS url, CASE WHEN c_nationkey < 12 THEN 3 ELSE 2 END AS n
+FROM customer WHERE c_acctbal > 0 OR c_nationkey < 12""")
 def coalesce_merge(spark: SparkSession, d: str) -> DataFrame:
     """The highest value that isn't null, column by column."""
     c = table(spark, d, "customer")
-    low = c.where("c_custkey % 2 = 0").select("c_custkey", F.col("c_name").alias("url"), F.lit(2).alias("n"))
-    high = c.where("c_custkey % 3 = 0").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("url"), F.lit(3).alias("n"))
+    low = c.where("c_acctbal > 0").select("c_custkey", F.col("c_name").alias("url"), F.lit(2).alias("n"))
+    high = c.where("c_nationkey < 12").select("c_custkey", F.nullif("c_mktsegment", F.lit("BUILDING")).alias("url"), F.lit(3).alias("n"))
     return relational.precedence_merge([low, high], "c_custkey", blend=True)
 
 
@@ -246,22 +261,25 @@ def first_accessible(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0), g AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 <> 0)
+WITH e AS (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'), g AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag <> 'N')
 SELECT coalesce(o_orderkey, l_orderkey) AS id, CASE WHEN l_orderkey IS NULL THEN 'missing' WHEN o_orderkey IS NULL THEN 'unknown' ELSE 'both' END AS state FROM e FULL JOIN g ON o_orderkey = l_orderkey""")
 def reconcile(spark: SparkSession, d: str) -> DataFrame:
     """Expected against received."""
-    expected = table(spark, d, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("id"))
-    return relational.reconcile(expected, table(spark, d, "lineitem").where("l_orderkey % 5 <> 0").select(F.col("l_orderkey").alias("id")), "id")
+    expected = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
+    return relational.reconcile(expected, table(spark, d, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("id")), "id")
 
 
 @query("""
-SELECT c_custkey, s.d::DATE::VARCHAR AS snapshot FROM (SELECT c_custkey, DATE '1998-01-15' + (c_custkey % 400)::INT AS want FROM customer) c,
-LATERAL (SELECT d FROM (SELECT DISTINCT last_day(o_orderdate::DATE) AS d FROM orders WHERE o_orderkey % 50 = 0) ORDER BY date_trunc('month', d) <> date_trunc('month', c.want), abs(date_diff('day', d, c.want)), d LIMIT 1) s""")
+WITH s AS (SELECT DISTINCT last_day(o_orderdate::DATE) AS d FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 480000),
+w AS (SELECT DISTINCT o_orderdate::DATE AS want FROM orders),
+best AS (SELECT want, (SELECT arg_min(d, struct_pack(a := date_trunc('month', d) <> date_trunc('month', want), b := abs(date_diff('day', d, want)), c := d)) FROM s) AS d FROM w)
+SELECT o_orderkey, best.d::DATE::VARCHAR AS snapshot FROM orders JOIN best ON o_orderdate::DATE = want""")
 def nearest_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """The nearest snapshot, of the same month first."""
-    wanted = table(spark, d, "customer").select("c_custkey", F.date_add(F.lit("1998-01-15").cast("date"), (F.col("c_custkey") % 400).cast("int")).alias("want"))
-    days = table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.last_day("o_orderdate").alias("snapshot"))
-    return relational.nearest_snapshot(wanted, "want", days, "snapshot").select("c_custkey", F.col("snapshot").cast("string").alias("snapshot"))
+    orders = table(spark, d, "orders")
+    wanted = orders.select("o_orderkey", F.to_date("o_orderdate").alias("want"))
+    days = orders.where("o_orderstatus = 'F' AND o_totalprice > 480000").select(F.last_day("o_orderdate").alias("snapshot"))
+    return relational.nearest_snapshot(wanted, "want", days, "snapshot").select("o_orderkey", F.col("snapshot").cast("string").alias("snapshot"))
 
 
 # Prompts, routing and budgets
@@ -299,15 +317,16 @@ def content_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE WHEN p IS NOT NULL AND p < 5 AND doc_id % 11 <> 0 AND t <= 600 THEN 'gpt-5.6-luna' ELSE 'gpt-5.6-terra' END AS model,
-  CASE WHEN doc_id % 11 = 0 THEN 'ambiguous_previous_classification' WHEN p IS NULL THEN 'missing_previous_classification' WHEN p >= 5 THEN 'prior_categories_ge_5' WHEN t <= 600 THEN 'short_prompt_le_6000' ELSE 'long_prompt_gt_6000' END AS reason
-FROM (SELECT d.doc_id, n_chars // 4 AS t, l.quality * 3 + l.toxic * 2 + d.doc_id % 3 AS p FROM documents d LEFT JOIN labels l USING (doc_id))""")
+SELECT doc_id, CASE WHEN p IS NOT NULL AND p < 5 AND NOT torn AND t <= 6000 THEN 'gpt-5.6-luna' ELSE 'gpt-5.6-terra' END AS model,
+  CASE WHEN torn THEN 'ambiguous_previous_classification' WHEN p IS NULL THEN 'missing_previous_classification' WHEN p >= 5 THEN 'prior_categories_ge_5' WHEN t <= 6000 THEN 'short_prompt_le_6000' ELSE 'long_prompt_gt_6000' END AS reason,
+  true AS family
+FROM (SELECT d.doc_id, n_chars // 4 AS t, source = 'src3' AS torn, l.quality * 3 + l.toxic * 2 + d.doc_id % 3 AS p FROM documents d LEFT JOIN labels l USING (doc_id))""")
 def route_decision(spark: SparkSession, d: str) -> DataFrame:
     """Which model a prompt goes to."""
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
     prior = F.col("quality") * 3 + F.col("toxic") * 2 + F.col("doc_id") % 3
-    tokens = F.when(F.expr("n_chars div 4") <= 600, 6000).otherwise(6001)
-    return rows.select("doc_id", routing.route(prior, tokens, prior.isNotNull(), F.col("doc_id") % 11 == 0).alias("r")).select("doc_id", "r.*")
+    routed = rows.select("doc_id", routing.route(prior, F.expr("n_chars div 4"), prior.isNotNull(), F.col("source") == "src3").alias("r")).select("doc_id", "r.*")
+    return routed.withColumn("family", routing.is_family(F.col("model")))
 
 
 @query("""
@@ -352,12 +371,12 @@ def id_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT c_custkey, coalesce(n, 0) AS pages, CASE WHEN n > 0 THEN 'DONE' WHEN s = 'P' THEN 'SKIPPED' WHEN s = 'F' THEN 'FAILED' WHEN s IS NOT NULL THEN 'ATTEMPTED' ELSE 'NEVER' END AS state
-FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders GROUP BY 1) b ON b.o_custkey = c_custkey""")
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 440000 GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS s FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1) b ON b.o_custkey = c_custkey""")
 def progress_state(spark: SparkSession, d: str) -> DataFrame:
     """Where each seed stands."""
     orders = table(spark, d, "orders").withColumnRenamed("o_custkey", "c_custkey")
     word = F.when(F.col("o_orderstatus") == "P", "skipped").when(F.col("o_orderstatus") == "F", "failed").otherwise("other")
-    return crawl.progress(table(spark, d, "customer"), "c_custkey", orders.where("o_orderkey % 13 = 0"), orders.withColumn("status", word), "status", "o_orderkey")
+    return crawl.progress(table(spark, d, "customer"), "c_custkey", orders.where("o_totalprice > 440000"), orders.where("o_orderpriority <> '1-URGENT'").withColumn("status", word), "status", "o_orderkey")
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (WHERE c_acctbal < 0) AS negative, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS building FROM customer")
@@ -378,14 +397,14 @@ def invariants(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_suppkey % 7 <> 0), b AS (SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'x' ELSE s_name END AS s_name, s_nationkey + (s_suppkey % 3 = 0)::INT AS s_nationkey FROM supplier WHERE s_suppkey % 11 <> 0)
+WITH a AS (SELECT s_suppkey, s_name, s_nationkey FROM supplier WHERE s_acctbal > 0), b AS (SELECT s_suppkey, CASE WHEN s_nationkey < 5 THEN 'x' ELSE s_name END AS s_name, s_nationkey + (s_acctbal > 5000)::INT AS s_nationkey FROM supplier WHERE s_nationkey <> 7)
 SELECT * FROM (SELECT coalesce(a.s_suppkey, b.s_suppkey) AS s_suppkey, CASE WHEN b.s_suppkey IS NULL THEN 'missing' WHEN a.s_suppkey IS NULL THEN 'extra' WHEN a.s_name IS DISTINCT FROM b.s_name THEN 's_name' WHEN a.s_nationkey IS DISTINCT FROM b.s_nationkey THEN 's_nationkey' END AS problem
 FROM a FULL JOIN b ON a.s_suppkey = b.s_suppkey) WHERE problem IS NOT NULL""")
 def artifact_check(spark: SparkSession, d: str) -> DataFrame:
     """A manifest against what is there."""
-    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    actual = s.where("s_suppkey % 11 <> 0").select("s_suppkey", F.when(F.col("s_suppkey") % 5 == 0, "x").otherwise(F.col("s_name")).alias("s_name"), (F.col("s_nationkey") + (F.col("s_suppkey") % 3 == 0).cast("int")).alias("s_nationkey"))
-    return quality.artifact_differences(s.where("s_suppkey % 7 <> 0"), actual, "s_suppkey", ["s_name", "s_nationkey"])
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    actual = s.where("s_nationkey <> 7").select("s_suppkey", F.when(F.col("s_nationkey") < 5, "x").otherwise(F.col("s_name")).alias("s_name"), (F.col("s_nationkey") + (F.col("s_acctbal") > 5000).cast("int")).alias("s_nationkey"))
+    return quality.artifact_differences(s.where("s_acctbal > 0"), actual, "s_suppkey", ["s_name", "s_nationkey"])
 
 
 @query("""
@@ -439,27 +458,29 @@ def llm_text_filters(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select("conv_id", "turn", texts.is_no_match(t).alias("no_match"), texts.is_unusable(t).alias("unusable"), urls.first_url(t).alias("first_url"))
 
 
-@query(r"""
-WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS a FROM documents), b AS (SELECT item_id, list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: x <> '') AS b FROM benchmark WHERE item_id < 5)
-SELECT doc_id, item_id, round(len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))), 6) AS jaccard FROM w, b""")
+_TOKENS = "list_filter(list_distinct(regexp_split_to_array(lower(text), '[^a-z0-9]+')), lambda x: x <> '')"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, {_TOKENS} AS a FROM documents), b AS (SELECT item_id, {_TOKENS} AS b FROM benchmark),
+j AS (SELECT doc_id, item_id, len(list_intersect(a, b)) / greatest(1, len(list_distinct(list_concat(a, b)))) AS jaccard FROM w, b)
+SELECT doc_id, item_id, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.2""")
 def token_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """overlap of words with a stated set of five items."""
-    items = table(spark, d, "benchmark").where("item_id < 5").select("item_id", texts.tokens(F.col("text")).alias("b"))
-    docs = table(spark, d, "documents").select("doc_id", texts.tokens(F.col("text")).alias("a"))
-    return docs.crossJoin(F.broadcast(items)).select("doc_id", "item_id", F.round(texts.jaccard(F.col("a"), F.col("b")), 6).alias("jaccard"))
+    """texts that share many words with an item, by an equi-join on rare words."""
+    side = lambda name, key: table(spark, d, name).select(key, texts.tokens(F.col("text")).alias("words"))
+    pairs = relational.overlap_join(side("documents", "doc_id"), side("benchmark", "item_id"), "doc_id", "item_id", "words", 0.2)
+    return pairs.select("doc_id", "item_id", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query("""
-WITH t AS (SELECT list_sort(list(DISTINCT lower(event_type))) AS l FROM events) SELECT conv_id, turn, array_to_string(list_filter(l, lambda x: contains(lower(text), x[1:3])), '|') AS labels FROM conversations, t""")
+WITH l AS (SELECT list_sort(list(DISTINCT w)) AS l FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part UNION ALL SELECT p_type FROM part))
+SELECT p_partkey, array_to_string(list_filter(l, lambda x: contains(lower(p_type || ' ' || p_name || ' ' || p_brand), lower(x))), '|') AS labels FROM part, l""")
 def category_extract_exact(spark: SparkSession, d: str) -> DataFrame:
-    """F07, tiers without Python: labels contained in a text."""
-    from strandline.functions.fuzzy import labels_verbatim
-
-    taxonomy = table(spark, d, "events").agg(F.array_sort(F.collect_set(F.lower("event_type"))).alias("l"))
-    heads = F.transform("l", lambda x: F.substring(x, 1, 3))
-    rows = table(spark, d, "conversations").crossJoin(F.broadcast(taxonomy))
-    hit = labels_verbatim(F.col("text"), heads)
-    return rows.select("conv_id", "turn", F.array_join(F.filter("l", lambda x: F.array_contains(hit, F.substring(x, 1, 3))), "|").alias("labels"))
+    """F07, tiers without Python: whole labels contained in a text."""
+    part = table(spark, d, "part")
+    labels = part.select(F.explode(F.split("p_name", " ")).alias("w")).union(part.select("p_type")).agg(F.array_sort(F.collect_set("w")).alias("l"))
+    rows = part.crossJoin(F.broadcast(labels))  # one row
+    return rows.select("p_partkey", F.array_join(fuzzy.labels_verbatim(F.concat_ws(" ", "p_type", "p_name", "p_brand"), F.col("l")), "|").alias("labels"))
 
 
 @query("SELECT event_id, CAST(props::JSON ->> '$.k' AS VARCHAR) AS k, json_valid(props) AS is_json FROM events")
@@ -472,22 +493,21 @@ def props_json(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def fuzzy_names(spark: SparkSession, d: str) -> DataFrame:
     """Names closest to a customer's among the suppliers of its nation, ties included."""
-    from strandline.functions.fuzzy import best_names
-
     suppliers = table(spark, d, "supplier").select("s_nationkey", "s_name")
     pairs = table(spark, d, "customer").join(suppliers, F.col("c_nationkey") == F.col("s_nationkey")).select("c_custkey", "s_name", "c_name", "c_mktsegment")
-    return best_names(pairs, "c_custkey", "s_name", "c_name", "c_mktsegment").select("c_custkey", "s_name", F.round("score", 6).alias("score"))
+    return fuzzy.best_names(pairs, "c_custkey", "s_name", "c_name", "c_mktsegment").select("c_custkey", "s_name", F.round("score", 6).alias("score"))
 
 
 @query()
 def taxonomy_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """Labels in free text, by candidate lines too."""
-    from strandline.functions.fuzzy import labels_in
-
-    taxonomy = ["Media - Radio", "Media - Television", "Education - Universities", "Finance - Banks"]
-    texts_once = table(spark, d, "conversations").select("text").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    labelled = texts_once.select(F.col("text").alias("t"), labels_in(F.col("text"), taxonomy).alias("labels"))
-    return table(spark, d, "conversations").join(labelled, F.col("text").eqNullSafe(F.col("t"))).select("conv_id", "turn", "labels")
+    """Labels in free text, verbatim, in normal form and by candidate lines."""
+    part = table(spark, d, "part").withColumn("p_name", F.initcap("p_name")).withColumn("p_type", F.initcap("p_type"))
+    label = F.concat_ws(" - ", "p_type", "p_name")
+    taxonomy = part.select(label.alias("label")).distinct().withColumn("ordinal", F.xxhash64("label"))
+    answer = F.concat(F.lit("Resulting categories:\n1. "), F.upper("p_type"), F.lit(" – "), F.expr("substr(p_name, 1, length(p_name) - 1)"), F.lit("\n2) other "), F.col("p_name"))
+    answers = part.select("p_partkey", answer.alias("text"))
+    labelled = fuzzy.extract_labels(answers, "text", taxonomy, "label")
+    return answers.join(labelled, "text").select("p_partkey", F.array_join("labels", "|").alias("labels"))
 
 
 @query(f"""
@@ -503,12 +523,12 @@ def prompt_payloads(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH b AS (SELECT user_id, event_type FROM events WHERE event_id % 3 = 0 GROUP BY 1, 2), m AS (SELECT user_id, event_type FROM events WHERE event_id % 4 = 0 GROUP BY 1, 2)
+WITH b AS (SELECT user_id, event_type FROM events WHERE value < 20 GROUP BY 1, 2), m AS (SELECT user_id, event_type FROM events WHERE value >= 20 GROUP BY 1, 2)
 SELECT * FROM b UNION ALL (SELECT * FROM m EXCEPT SELECT * FROM b)""")
 def additive_merge(spark: SparkSession, d: str) -> DataFrame:
     """What is missing is added."""
-    part = lambda n: table(spark, d, "events").where(F.col("event_id") % n == 0).select("user_id", "event_type").distinct()
-    return relational.additive_merge(part(3), part(4), ["user_id", "event_type"])
+    part = lambda which: table(spark, d, "events").where(which).select("user_id", "event_type").distinct()
+    return relational.additive_merge(part("value < 20"), part("value >= 20"), ["user_id", "event_type"])
 
 
 @query("""
@@ -529,39 +549,39 @@ def job_states(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS v FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT c_custkey, 'forced' AS v FROM customer WHERE c_custkey % 9 = 0)
+WITH r AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'CONSTRUCTION' ELSE c_mktsegment END AS v FROM customer WHERE c_acctbal > 0 AND c_mktsegment <> 'MACHINERY'), f AS (SELECT c_custkey, 'forced' AS v FROM customer WHERE c_nationkey = 7)
 SELECT coalesce(f.c_custkey, r.c_custkey) AS c_custkey, coalesce(f.v, r.v) AS domain FROM r FULL JOIN f ON r.c_custkey = f.c_custkey""")
 def manual_overrides(spark: SparkSession, d: str) -> DataFrame:
-    """Rewritten, then forced values."""
+    """Listed values dropped, the others rewritten, then forced by key."""
     c = table(spark, d, "customer")
     rewrites = spark.createDataFrame([("BUILDING", "CONSTRUCTION")], "from string, to string")
-    forced = c.where("c_custkey % 9 = 0").select("c_custkey", F.lit("forced").alias("domain"))
-    return registry.apply_overrides(c.where("c_custkey % 2 = 0").select("c_custkey", F.col("c_mktsegment").alias("domain")), "c_custkey", "domain", rewrites, forced)
+    forced = c.where("c_nationkey = 7").select("c_custkey", F.lit("forced").alias("domain"))
+    own = registry.drop_listed(c.where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("domain")), "domain", ("MACHINERY",))
+    return registry.apply_overrides(own, "c_custkey", "domain", rewrites, forced)
 
 
 @query("""
-WITH l AS (SELECT c_custkey AS s, min(c_custkey // 2) AS t FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1), a AS (SELECT c_custkey, coalesce(t, c_custkey) AS e, (t IS NOT NULL)::INT AS h FROM customer LEFT JOIN l ON c_custkey = s),
+WITH l AS (SELECT o_custkey AS s, min(o_orderkey % 1500) AS t FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1), a AS (SELECT c_custkey, coalesce(t, c_custkey) AS e, (t IS NOT NULL)::INT AS h FROM customer LEFT JOIN l ON c_custkey = s),
 b AS (SELECT c_custkey, coalesce(t, e) AS e, h + (t IS NOT NULL)::INT AS h FROM a LEFT JOIN l ON e = s), c AS (SELECT c_custkey, coalesce(t, e) AS e, h + (t IS NOT NULL)::INT AS h FROM b LEFT JOIN l ON e = s)
 SELECT c_custkey, coalesce(t, e) AS "end", h + (t IS NOT NULL)::INT AS hops FROM c LEFT JOIN l ON e = s""")
 def redirect_chain(spark: SparkSession, d: str) -> DataFrame:
     """Ends of chains of at most four hops."""
-    c = table(spark, d, "customer").select("c_custkey")
-    links = c.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s"), F.expr("c_custkey div 2").alias("t"))
-    return registry.follow(c, "c_custkey", links, "s", "t")
+    links = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("s"), (F.col("o_orderkey") % 1500).alias("t"))
+    return registry.follow(table(spark, d, "customer").select("c_custkey"), "c_custkey", links, "s", "t")
 
 
-@query("SELECT count(*) AS targets, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)) AS covered, round(100.0 * covered / targets, 2) AS percent FROM customer")
+@query("SELECT count(*) AS targets, count(*) FILTER (WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)) AS covered, round(100.0 * covered / targets, 2) AS percent FROM customer")
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     """How many targets were reached."""
-    found = table(spark, d, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    found = table(spark, d, "orders").where("o_totalprice > 450000").select(F.col("o_custkey").alias("c_custkey"))
     return registry.coverage(table(spark, d, "customer"), found, "c_custkey")
 
 
-@query("SELECT p_type, count(*) AS n FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey % 200 = 0) GROUP BY 1")
+@query("SELECT p_name, count(*) AS n FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size = 1) GROUP BY 1")
 def unknown_labels(spark: SparkSession, d: str) -> DataFrame:
     """Labels outside the taxonomy."""
-    part = table(spark, d, "part").select("p_partkey", "p_type")
-    return registry.unknown_labels(part, "p_type", part.where("p_partkey % 200 = 0"))
+    part = table(spark, d, "part").select("p_size", "p_name")
+    return registry.unknown_labels(part, "p_name", part.where("p_size = 1"))
 
 
 @query("SELECT s_nationkey, array_to_string(list_sort(list(DISTINCT s_suppkey)), ',') AS keys FROM supplier GROUP BY 1")
@@ -571,12 +591,12 @@ def inverted_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), l AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1)
+WITH s AS (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1), l AS (SELECT o_custkey, arg_min(o_totalprice, o_orderkey) AS v FROM orders GROUP BY 1)
 SELECT o_custkey, round(v, 4) AS v FROM s UNION ALL SELECT o_custkey, round(v, 4) FROM l WHERE o_custkey NOT IN (SELECT o_custkey FROM s)""")
 def log_recovery(spark: SparkSession, d: str) -> DataFrame:
     """A snapshot, and the log where it has nothing."""
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("v"))
-    snapshot = orders.where("o_orderkey % 2 = 0").groupBy("o_custkey").agg(F.max("v").alias("v"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderpriority", F.col("o_totalprice").alias("v"))
+    snapshot = orders.where("o_orderpriority = '2-HIGH'").groupBy("o_custkey").agg(F.max("v").alias("v"))
     return registry.recover_log(snapshot, orders, "o_custkey", "o_orderkey").withColumn("v", F.round("v", 4))
 
 
