@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +25,34 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def in_order(df: DataFrame, name: str = "ordinal") -> DataFrame:
+    """Adds a number that follows path, place in the file and row, however Spark packs files into tasks.
+
+    ``monotonically_increasing_id`` follows tasks, to which files are dealt by size. Here the first digits are the rank of the
+    path in the listing, then the start of the block within the file (16 digits), then the row's number in its task (10 digits).
+    """
+    listed = sorted({re.sub("^file:/+", "file:///", unquote(p)) for p in df.inputFiles()})
+    ranks = df.sparkSession.createDataFrame(list(enumerate(listed)), "__rank long, __name string")
+    rows = df.select("*", F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__row"))
+    met = rows.join(F.broadcast(ranks), F.col("__path") == F.col("__name"), "left")  # one row a file of the listing
+    number = F.coalesce("__rank", F.lit(0)).cast("decimal(12,0)") * F.expr("cast('1e26' as decimal(27,0))").cast("decimal(27,0)")
+    rest = F.col("__start").cast("decimal(16,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)).cast("decimal(10,0)")
+    return met.withColumn(name, (number + rest).cast("decimal(38,0)")).drop("__path", "__start", "__row", "__rank", "__name")
+
+
 def keyed_json(spark: SparkSession, path: str, value: str, key: str = "asn") -> DataFrame:
-    """``{key: value, ...}`` files, bare or under "data": one row per key; .gz is read as it is. ``value``: DDL type."""
+    """``{key: value, ...}`` files, bare or under "data", or one such object a line: one row per key; .gz is read as it is.
+    ``value``: DDL type. A file is one object if its first line doesn't close one."""
     whole = spark.read.text(path, wholetext=True)
-    bare = F.from_json("value", f"map<string,{value}>")
-    wrapped = F.from_json(F.get_json_object("value", "$.data"), f"map<string,{value}>")
+    kind = f"map<string,{value}>"
+    first = F.trim(F.substring_index(F.trim("value"), "\n", 1))
+    many = F.contains(F.trim("value"), F.lit("\n")) & first.startswith("{") & F.try_parse_json(first).isNotNull()
+    bare = F.from_json("value", kind)
+    wrapped = F.from_json(F.get_json_object("value", "$.data"), kind)
     envelope = F.get_json_object("value", "$.data").isNotNull() & F.get_json_object("value", "$.metadata").isNotNull()
-    return whole.select(F.explode(F.when(envelope, wrapped).otherwise(bare)).alias(key, "value"))
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+    maps = F.when(many, F.transform(lines, lambda x: F.from_json(x, kind))).otherwise(F.array(F.when(envelope, wrapped).otherwise(bare)))
+    return whole.select(F.explode(maps).alias("m")).select(F.explode("m").alias(key, "value"))
 
 
 def keyed_json_or_empty(spark: SparkSession, path: str, value: str, key: str = "asn") -> DataFrame:
@@ -37,9 +61,8 @@ def keyed_json_or_empty(spark: SparkSession, path: str, value: str, key: str = "
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with the order of reading; broken lines are left out."""
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    """JSON lines with their order; broken lines are left out."""
+    return in_order(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path))
 
 
 def delegated(lines: DataFrame, statuses: list[str], default_rir: str, order: Column | None = None) -> DataFrame:
@@ -59,8 +82,7 @@ def delegated(lines: DataFrame, statuses: list[str], default_rir: str, order: Co
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of ``key: value`` lines set apart by blank lines: type, id, fields (array of key, value), ordinal."""
-    raw = spark.read.option("lineSep", "\n\n").text(path).withColumn("ordinal", F.monotonically_increasing_id())
-    return parse_blocks(raw)
+    return parse_blocks(in_order(spark.read.option("lineSep", "\n\n").text(path)))
 
 
 def parse_blocks(raw: DataFrame) -> DataFrame:
@@ -96,8 +118,7 @@ def handle_domains(asns: DataFrame, orgs: DataFrame, contacts: DataFrame) -> Dat
 
 
 def ipinfo(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("header", True).schema("start_ip string, end_ip string, asn string, name string, domain string").csv(path)
-    return rows.withColumn("ordinal", F.monotonically_increasing_id())
+    return in_order(spark.read.option("header", True).schema("start_ip string, end_ip string, asn string, name string, domain string").csv(path))
 
 
 def peering(spark: SparkSession, path: str) -> DataFrame:

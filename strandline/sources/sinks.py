@@ -2,14 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _entry(key: str, value: str) -> Column:
+    return F.to_json(F.create_map(F.col(key).cast("string"), F.col(value)), {"ignoreNullFields": "false"})
+
+
 def keyed_json(df: DataFrame, path: str, key: str, value: str, gzip: bool = False) -> None:
-    """JSON lines ``{key: value}``, which ``readers.keyed_json`` reads back when files are read whole."""
-    line = F.to_json(F.create_map(F.col(key).cast("string"), F.col(value)))
-    df.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+    """One object ``{key: value}`` a line, in the order of keys; ``readers.keyed_json`` reads it back. Null values are written."""
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), _entry(key, value).alias("value"))
+    rows.repartitionByRange("k").sortWithinPartitions("k").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
+
+
+def keyed_json_object(df: DataFrame, path: str, key: str, value: str, metadata: Column | None = None, gzip: bool = False) -> None:
+    """One file with one object, as the pipeline's other tools read it; with ``metadata``, an envelope that has the rows under
+    "data". The lines of the object stream through one task, which is meant for tables of registry size."""
+    entry = _entry(key, value)
+    rows = df.where(F.col(key).isNotNull()).select(F.lit(1).alias("part"), F.col(key).cast("string").alias("k"), F.concat(entry.substr(F.lit(2), F.length(entry) - 2), F.lit(",")).alias("value"))
+    opened = F.lit("{") if metadata is None else F.concat(F.lit('{"metadata": '), F.to_json(metadata), F.lit(', "data": {'))
+    edge = lambda part, text: df.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit("").alias("k"), text.alias("value"))
+    last = rows.agg(F.max("k").alias("last"))
+    rows = rows.join(F.broadcast(last), F.col("k") == F.col("last"), "left").withColumn("value", F.when(F.col("last").isNull(), F.col("value")).otherwise(F.regexp_replace("value", ",$", ""))).drop("last")
+    whole = edge(0, opened).unionByName(rows).unionByName(edge(2, F.lit("}" if metadata is None else "}}")))
+    whole.coalesce(1).sortWithinPartitions("part", "k").select("value").write.mode("overwrite").option("compression", "gzip" if gzip else "none").text(path)
 
 
 def append_log(df: DataFrame, path: str) -> None:

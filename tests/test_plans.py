@@ -39,10 +39,16 @@ def test_request_body(spark):
 
 def test_sinks(spark, tmp_path):
     frame = spark.createDataFrame([("1", ["a"]), ("2", [])], "asn string, v array<string>")
+    many = spark.createDataFrame([(str(k), [f"v{k}"] if k % 3 else None) for k in range(50)], "asn string, v array<string>").repartition(4)
+    want = sorted((r.asn, r.v) for r in many.collect())
     for gz in (False, True):
-        sinks.keyed_json(frame.coalesce(1), f"{tmp_path}/{gz}", "asn", "v", gzip=gz)
-        lines = spark.read.text(f"{tmp_path}/{gz}").select(F.explode(F.from_json("value", "map<string,array<string>>")))
-        assert sorted(map(tuple, lines.collect())) == [("1", ["a"]), ("2", [])]
+        sinks.keyed_json(many, f"{tmp_path}/{gz}", "asn", "v", gzip=gz)
+        sinks.keyed_json_object(many, f"{tmp_path}/one{gz}", "asn", "v", gzip=gz)
+        sinks.keyed_json_object(many, f"{tmp_path}/data{gz}", "asn", "v", F.struct(F.lit(50).alias("n")), gzip=gz)
+        for name in ("", "one", "data"):
+            assert sorted(map(tuple, readers.keyed_json(spark, f"{tmp_path}/{name}{gz}", "array<string>").collect())) == want, name
+    text = next(f for f in (tmp_path / "dataFalse").iterdir() if f.suffix == ".txt").read_text()
+    assert json.loads(text)["metadata"] == {"n": 50} and list(json.loads(text)["data"]) == sorted(r[0] for r in want)
     pages = spark.createDataFrame([("s", 2, "sub"), ("s", 1, "landing")], "site string, rank int, text string")
     sinks.site_texts(pages, f"{tmp_path}/texts", "site", "text", "rank")
     assert [r.value for r in spark.read.text(f"{tmp_path}/texts", wholetext=True).collect()] == ["landing\n\nsub\n"]

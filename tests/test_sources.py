@@ -26,6 +26,21 @@ def test_json_lines_skip_broken(spark, tmp_path):
     assert sorted(r.seed for r in readers.json_lines(spark, f"{tmp_path}/log.jsonl", readers.EVENT_SCHEMA).collect()) == ["a", "b"]
 
 
+def test_order_over_files(spark, tmp_path):
+    """Rows are numbered by path and line, though Spark deals out large files first."""
+    for name, n in (("a b", 3), ("b", 400), ("c", 20)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"seed": name, "status": str(k)}) + "\n" for k in range(n)))
+        (tmp_path / f"{name}.csv").write_text("start_ip,end_ip,asn,name,domain\n" + "".join(f"{k},x,{name},n,d\n" for k in range(n)))
+        (tmp_path / f"{name}.db").write_text("".join(f"aut-num: {name}{k}\n\n" for k in range(n)))
+    rows = readers.json_lines(spark, f"{tmp_path}/*.jsonl", readers.EVENT_SCHEMA).orderBy("ordinal").collect()
+    want = [(name, k) for name, n in (("a b", 3), ("b", 400), ("c", 20)) for k in range(n)]
+    assert [(r.seed, int(r.status)) for r in rows] == want
+    assert [(r.asn, int(r.start_ip)) for r in readers.ipinfo(spark, f"{tmp_path}/*.csv").orderBy("ordinal").collect()] == want
+    assert [r.id for r in readers.blocks(spark, f"{tmp_path}/*.db").orderBy("ordinal").collect()] == [f"{name}{k}" for name, k in want]
+    last = relational.latest_by(readers.json_lines(spark, f"{tmp_path}/*.jsonl", readers.EVENT_SCHEMA).withColumn("k", F.lit(1)), "k", "ordinal", "ordinal").first()
+    assert (last.seed, last.status) == ("c", "19")
+
+
 def test_delegated(spark):
     text = ["2|arin|x", "# note", "", "arin|us|asn|64496|3|20200101|allocated|x", "ripencc|DE|asn|64500|1|20200101|reserved", "ripencc|de|asn|64501|1|20200101|assigned", "arin|US|ipv4|1.0.0.0|256|20200101|allocated", "new|XX|asn|64510|1|2020|allocated", "arin|US|asn|abc|1|2020|allocated", "arin|US|asn|5|0|2020|allocated"]
     got = readers.delegated(spark.createDataFrame([(t,) for t in text], "value string"), ["allocated", "assigned"], "other").collect()
