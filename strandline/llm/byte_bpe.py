@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from .common import free_name
+from .common import free_name, slices
 
 LEAF = 6
 SHORT = 24
@@ -213,13 +213,6 @@ def _codec(shared: Broadcast) -> Codec:
     return _codecs[key]
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``ROWS`` rows, so that what is held as Python objects stays small."""
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            yield batch.slice(k, ROWS)
-
-
 def share(spark: SparkSession, path: str, pattern: str) -> Broadcast:
     """The vocabulary of at most a few MB, read on the driver; executors need not see ``path``."""
     ranks = read_ranks(path)
@@ -235,7 +228,7 @@ def encode(docs: DataFrame, vocabulary: Broadcast, text: str = "text", ids: str
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
-        for part in _parts(batches):
+        for part in slices(batches, ROWS):
             flat, ends = array("i"), [0]
             for body in part.column(at).to_pylist():
                 if body:
@@ -255,7 +248,7 @@ def decode(rows: DataFrame, vocabulary: Broadcast, ids: str = "ids", out: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocabulary)
-        for part in _parts(batches):
+        for part in slices(batches, ROWS):
             flat = part.column(at).flatten().to_pylist() if part.column(at).flatten().null_count else part.column(at).flatten().to_numpy().tolist()
             ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(part.column(at)), 0))).tolist()
             texts = [codec.decode(flat[a:b]) for a, b in zip([0, *ends], ends)]

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, BooleanType, DataType, IntegerType, LongType, StructField, StructType
 
-from .common import SPACE_BYTES, materialize, shuffle_partitions, text_bytes
+from .common import SPACE_BYTES, materialize, shuffle_partitions, slices, text_bytes
 
 MEMTABLE_ROWS = 50_000
 SALT_ROWS = 64
@@ -102,7 +102,7 @@ def memtables(size: int, kind: pa.DataType, shards: int, limit: int = MEMTABLE_R
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[bytes, list] = {}
-        for batch in batches:
+        for batch in slices(batches):
             for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 key, points = _digest(normalise(raw), size), code_points(raw)
                 held = table.get(key)
@@ -265,7 +265,7 @@ def probe(shared: Broadcast, digest_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters, hot, salt_rows = shared.value
         at = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in slices(batches):
             raws = batch.column(batch.num_columns - 1).to_pylist()
             bodies = [normalise(raw) for raw in raws]
             digests = [_digest(body, digest_bytes) for body in bodies]
@@ -310,7 +310,7 @@ def verify(shared: Broadcast, kind: DataType):
             if place < 0:  # the best of the digest is the first row
                 out.extend((doc, key[0], points, pos, members[0][0], len(members), k == 0, None, 0) for k, (doc, points, pos) in enumerate(members))
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, points, digest, pos, salt, body in zip(*(c.to_pylist() for c in batch.columns)):
                 if (digest, salt) != key:
                     if key:
@@ -344,7 +344,7 @@ def first_rows(shared: Broadcast):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, hot, _ = shared.value
         key, first = None, b""
-        for batch in batches:
+        for batch in slices(batches):
             digests, salts, bodies = (batch.column(batch.num_columns - k).to_pylist() for k in (4, 2, 1))
             take, roles = [], []
             for k, (digest, salt, body) in enumerate(zip(digests, salts, bodies)):

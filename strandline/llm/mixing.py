@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import WORD, id_text, materialize, text_bytes, written
+from .common import WORD, id_text, materialize, slices, text_bytes, written
 
 SAMPLE_ROWS = 4000
 VOCABULARY = 1000
@@ -129,7 +129,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: tuple[str, ...],
     plain = Classifier(words, np.zeros(1), np.ones(1), np.zeros((1, 1)), np.zeros(1))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [plain.features(raw)[0].tobytes() for raw in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["domain", "row"])
 
@@ -147,7 +147,7 @@ def _annotate(model: Classifier, names: list[str]):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = (batch.column(batch.num_columns - j).to_pylist() for j in (2, 1))
             got = [model.features(raw) for raw in texts]
             p = model.posterior(np.array([g[0] for g in got])) if got else np.zeros((0, k))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import SPACE_BYTES, free_name, materialize, text_bytes
+from .common import SPACE_BYTES, free_name, materialize, slices, text_bytes
 from .exact_dedup import code_points
 
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +82,7 @@ def profile(raw: bytes) -> tuple:
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 36
     kinds = [pa.binary(), *[pa.int64()] * 5, pa.list_(_LINE)]
-    for batch in batches:
+    for batch in slices(batches):
         got = [profile(raw) for raw in batch.column(batch.num_columns - 1).to_pylist()]
         cols = [pa.array(c, k) for c, k in zip(zip(*got) if got else [[]] * 7, kinds)]
         rows = pa.array(np.arange(row, row + batch.num_rows))

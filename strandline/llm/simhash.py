@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import free_name, materialize, shuffle_partitions, text_bytes
+from .common import free_name, materialize, shuffle_partitions, slices, text_bytes
 from .components import components
 
 SEED = 42
@@ -77,7 +77,7 @@ def fingerprint(raw: bytes) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         prints = [fingerprint(raw) for raw in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
 
