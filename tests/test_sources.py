@@ -87,8 +87,65 @@ def test_archives(spark, tmp_path):
     found = warc.scan(spark, f"{tmp_path}/*warc*").cache()
     assert {r.record_id: bytes(r.payload) for r in found.where("error is null").collect()} == {f"r{k}": b"page %d" % k for k in range(5)} | {"p0": b"plain", "p1": b"more", "x0": b"ok"}
     assert {r.warc.rsplit("/", 1)[1]: r.ok for r in warc.health(found).collect()} == {"a.warc.gz": True, "b.warc": True, "c.warc.gz": False}
-    index = warc.offset_index(found).where("record_id in ('r3', 'r1')").withColumn("offset", F.when(F.col("record_id") == "r3", F.col("offset")))
-    assert {r.record_id: bytes(r.payload) for r in warc.seek(spark, index, f"{tmp_path}/a*").collect()} == {"r1": b"page 1", "r3": b"page 3"}
+    index = warc.offset_index(found).where("record_id in ('r3', 'r1', 'p1')").withColumn("offset", F.when(F.col("record_id") != "r3", F.col("offset")))
+    assert {r.record_id: bytes(r.payload) for r in warc.seek(spark, index, f"{tmp_path}/a*").collect()} == {"r1": b"page 1", "r3": b"page 3", "p1": b"more"}
+    stale = warc.offset_index(found).where("record_id = 'r2'").withColumn("record_id", F.lit("other"))
+    assert [r.error for r in warc.seek(spark, stale).collect()] == ["LookupError: not at this place"]
+
+
+def test_one_member_for_all_records(spark, tmp_path):
+    (tmp_path / "w.warc.gz").write_bytes(gzip.compress(b"".join(record(f"r{k}", b"x" * k) for k in range(2500))))
+    found = warc.scan(spark, f"{tmp_path}/w.warc.gz").collect()
+    assert sorted(len(r.payload) for r in found) == list(range(2500)) and {r.offset for r in found} == {0} and not any(r.error for r in found)
+
+
+def test_large_archive_takes_linear_time(tmp_path):
+    """256 MB of members, streamed: two times the records take about two times as long, and a seek reads its record only."""
+    import os
+    import time
+
+    body, seconds = os.urandom(32_000), []
+    for n in (4000, 8000):
+        path, places = tmp_path / f"{n}.warc.gz", []
+        with path.open("wb") as f:
+            for k in range(n):
+                places.append(f.tell())
+                f.write(gzip.compress(record(f"r{k}", body), 0))
+        began = time.time()
+        with warc.opened(str(path)) as handle:
+            assert sum(size for *_, size in warc.records(handle)) == path.stat().st_size
+        seconds.append(time.time() - began)
+    assert path.stat().st_size > 256_000_000 and seconds[1] < 20 and seconds[1] < 4 * seconds[0]
+
+
+def test_written_archives(spark, tmp_path):
+    rows = spark.createDataFrame([(f"r{k}", "response", f"http://e.org/{k}", "2024-01-01T00:00:00Z", bytes([65 + k % 26]) * 50, f"r{k - 1}" if k == 7 else None) for k in range(40)], "record_id string, type string, uri string, day string, payload binary, refers_to string").repartition(2)
+    index = warc.write(rows, f"{tmp_path}/out", max_records=8)
+    assert index.groupBy("warc").count().agg(F.max("count")).first()[0] == 8 and index.count() == 40
+    found = {r.record_id: r for r in warc.scan(spark, f"{tmp_path}/out/*.warc.gz").collect()}
+    assert {k: bytes(r.payload) for k, r in found.items()} == {f"r{k}": bytes([65 + k % 26]) * 50 if k != 7 else b"" for k in range(40)} and found["r7"].type == "revisit"
+    got = warc.seek(spark, index.where("record_id in ('r3', 'r39')")).collect()
+    assert sorted((r.record_id, r.uri) for r in got) == [("r3", "http://e.org/3"), ("r39", "http://e.org/39")]
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(record("a", b"1") + record("b", b"2")))
+    again = warc.reencode(spark, f"{tmp_path}/whole.warc.gz", f"{tmp_path}/again")
+    assert {r.record_id: bytes(r.payload) for r in warc.seek(spark, again).collect()} == {"a": b"1", "b": b"2"}
+
+
+def test_rebuild_scrub_and_replace(spark, tmp_path):
+    store, own = f"file:{tmp_path}/store.warc.gz", f"file:{tmp_path}/own.warc.gz"
+    (tmp_path / "store.warc.gz").write_bytes(gzip.compress(record("s1", b"stored")) + gzip.compress(record("s2", b"other")))
+    (tmp_path / "own.warc.gz").write_bytes(gzip.compress(record("o1", b"own")))
+    rows = [("o1", own, None, None), ("o2", own, "s1", store), ("o3", own, "s9", "gone.warc.gz"), ("o4", own, None, store)]
+    index = spark.createDataFrame(rows, "record_id string, warc string, store_record string, store_warc string")
+    broken = spark.createDataFrame([("gone.warc.gz",)], "warc string")
+    made, counts = warc.rebuild(spark, index, broken, f"{tmp_path}/new")
+    assert {r.state: r.n for r in counts.collect()} == {"passthrough": 1, "kept": 1, "skipped": 1, "invalid": 1}
+    assert {r.record_id: bytes(r.payload) for r in warc.seek(spark, made).collect()} == {"o1": b"own", "o2": b"stored"}
+    assert sorted(r.record_id for r in warc.scrub(index.na.fill("", ["store_warc"]), "store_warc", broken).collect()) == ["o1", "o2", "o4"]
+    lines = spark.createDataFrame([("a gone.warc.gz b",), ("fine",)], "value string")
+    assert [r.value for r in warc.scrub_lines(lines, broken).collect()] == ["fine"]
+    slices = spark.createDataFrame([("a", 1), ("b", 1)], "warc string, n int")
+    assert sorted(map(tuple, warc.replaced(slices, spark.createDataFrame([("b", 2), ("c", 2)], "warc string, n int")).collect())) == [("a", 1), ("b", 2), ("c", 2)]
 
 
 def test_parts_and_manifest(spark, tmp_path):
