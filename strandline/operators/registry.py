@@ -52,9 +52,12 @@ def latest_before(days: DataFrame, day: str, current: str) -> DataFrame:
     return days.where(F.col(day) < F.lit(current)).agg(F.max(day).alias(day))
 
 
-def previous_pair(snapshots: DataFrame, tag: str, current: str) -> DataFrame:
-    """One row: the newest older tag that has both files."""
-    return snapshots.where((F.col(tag) < current) & F.col("has_mapping") & F.col("has_class")).agg(F.max(tag).alias(tag))
+def previous_pair(snapshots: DataFrame, tag: str, current: str, explicit: str | None = None, wanted: str | None = None) -> DataFrame:
+    """One row: the tag whose two files are used: an explicit one, else a wanted one, else the newest older one, each if it has
+    both files; null if none has."""
+    whole = snapshots.where(F.col("has_mapping") & F.col("has_class"))
+    rank = F.when(F.col(tag) == F.lit(explicit), 2).when(F.col(tag) == F.lit(wanted), 1).when(F.col(tag) < current, 0)
+    return whole.withColumn("__r", rank).where("__r is not null").agg(F.max_by(tag, F.struct("__r", tag)).alias(tag))
 
 
 def follow(start: DataFrame, key: str, links: DataFrame, source: str, target: str, hops: int = 4) -> DataFrame:
@@ -90,8 +93,9 @@ def coverage(targets: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def inverted(df: DataFrame, key: str, value: str) -> DataFrame:
-    """value, keys: sorted and distinct."""
-    return df.where(F.col(value).isNotNull()).groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"))
+    """value, keys: sorted and distinct. An array has all keys of a value, which is what an inverted index is."""
+    pairs = df.where(F.col(value).isNotNull()).select(value, key).distinct()
+    return pairs.groupBy(value).agg(F.array_sort(F.collect_list(key)).alias("keys"))
 
 
 def seed_fan_out(prompts: DataFrame, prompt: str, key: str, seeds: DataFrame, seed: str) -> DataFrame:

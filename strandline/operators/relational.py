@@ -10,6 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 
 def _cols(names: str | Sequence[str]) -> list[str]:
@@ -44,16 +45,30 @@ def range_expand(df: DataFrame, start: str, count: str, out: str) -> DataFrame:
     return df.where(F.col(count) >= 1).withColumn(out, F.explode(F.sequence(F.col(start), F.col(start) + F.col(count) - 1)))
 
 
-def upsert_conflicts(df: DataFrame, key: str, holder: str, ordinal: str) -> DataFrame:
-    """key, holder (the last one), conflicts: how often the holder changed in order."""
-    before = F.lag(holder).over(Window.partitionBy(key).orderBy(ordinal))
-    marked = df.withColumn("__change", (before.isNotNull() & (before != F.col(holder))).cast("long"))
-    return marked.groupBy(key).agg(F.max_by(holder, ordinal).alias(holder), F.sum("__change").alias("conflicts"))
+#: Ordinals in a run of rows whose order is looked at together; runs are then put together by their ends.
+RUN = 1 << 16
 
 
-def ordered_distinct(value: str, ordinal: str) -> Column:
-    """Aggregate: distinct values in the order of their first appearance."""
-    return F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(F.col(ordinal).alias("o"), F.col(value).alias("v")))), lambda x: x["v"]))
+def upsert_conflicts(df: DataFrame, key: str, holder: str, ordinal: str, run: int = RUN) -> DataFrame:
+    """key, holder (the last one), conflicts: how often the holder changed in order.
+
+    Changes are counted within runs of ordinals and between the last and first rows of neighbouring runs, so a key with a large
+    share of the rows isn't sorted in one task.
+    """
+    rows = df.where(F.col(holder).isNotNull()).select(key, holder, ordinal, F.floor(F.col(ordinal) / run).alias("__run"))
+    before = F.lag(holder).over(Window.partitionBy(key, "__run").orderBy(ordinal))
+    marked = rows.withColumn("__change", (before.isNotNull() & (before != F.col(holder))).cast("long"))
+    runs = marked.groupBy(key, "__run").agg(F.min_by(holder, ordinal).alias("__first"), F.max_by(holder, ordinal).alias("__last"), F.max(ordinal).alias("__at"), F.sum("__change").alias("__inside"))
+    between = F.lag("__last").over(Window.partitionBy(key).orderBy("__run"))
+    met = runs.withColumn("__between", (between.isNotNull() & (between != F.col("__first"))).cast("long"))
+    return met.groupBy(key).agg(F.max_by("__last", "__at").alias(holder), F.sum(F.col("__inside") + F.col("__between")).alias("conflicts"))
+
+
+def ordered_distinct(df: DataFrame, keys: str | Sequence[str], value: str, ordinal: str, out: str) -> DataFrame:
+    """keys and an array of a key's distinct values in the order of their first appearance; it holds distinct values only."""
+    keys = _cols(keys)
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(ordinal).alias("__o"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col(value).alias("v")))), lambda x: x["v"]).alias(out))
 
 
 def suffix_join(names: DataFrame, name: str, targets: DataFrame, target: str, suffixes: Callable[[Column], Column]) -> DataFrame:
@@ -96,10 +111,22 @@ def dedup_apply(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFram
     return df.join(compute(df.select(key).where(F.col(key).isNotNull()).distinct()), key, "left")
 
 
-def budget_prefix(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int, out: str) -> DataFrame:
-    """Running budget per key: rows are charged in order, the row that crosses the budget in part, those after it nothing."""
-    before = F.coalesce(F.sum(cost).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn(out, F.greatest(F.lit(0), F.least(F.col(cost), F.lit(budget) - before)))
+def budget_prefix(df: DataFrame, key: str, order: Sequence[Column], cost: str, budget: int, out: str, run: Column | None = None) -> DataFrame:
+    """Running budget per key: rows are charged in order, the row that crosses the budget in part, those after it nothing.
+
+    ``run``: a number that doesn't decrease in that order, for keys with very many rows. Sums are then taken within runs and over
+    the sums of earlier runs, so no task sorts all rows of a key.
+    """
+    earlier = lambda *keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    granted = lambda before: F.greatest(F.lit(0), F.least(F.col(cost), F.lit(budget) - before))
+    if run is None:
+        return df.withColumn(out, granted(F.coalesce(F.sum(cost).over(earlier(key)), F.lit(0))))
+    rows = df.withColumn("__run", run)
+    sums = rows.groupBy(key, "__run").agg(F.sum(cost).alias("__sum"))
+    first = sums.select(F.col(key).alias("__k"), F.col("__run").alias("__r"), F.coalesce(F.sum("__sum").over(Window.partitionBy(key).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    met = rows.join(first, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__run") == F.col("__r")))
+    before = F.col("__before") + F.coalesce(F.sum(cost).over(earlier(key, "__run")), F.lit(0))
+    return met.withColumn(out, granted(before)).drop("__run", "__k", "__r", "__before")
 
 
 def first_by_class(df: DataFrame, key: str, rank: Column, position: str) -> DataFrame:
@@ -153,9 +180,37 @@ def reconcile(expected: DataFrame, got: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full_outer").select(key, F.when(F.col("g").isNull(), "missing").when(F.col("e").isNull(), "unknown").otherwise("both").alias("state"))
 
 
-def id_set_fingerprint(ids: str) -> Column:
-    """Aggregate: SHA-256 of the sorted identifiers, one per line."""
-    return F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(ids).cast("string"))), "\n"), 256)
+def id_set_fingerprints(df: DataFrame, keys: str | Sequence[str], ids: str, out: str = "ids_sha256") -> DataFrame:
+    """keys, n, and the SHA-256 of a key's sorted identifiers, one per line. The hash is sequential by definition: a set streams
+    through one task in the order of the shuffle's sort, which spills, and nothing of it is held."""
+    import hashlib
+
+    keys = _cols(keys)
+    rows = df.select(*keys, F.col(ids).cast("string").alias("__id")).where("__id is not null")
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("n", LongType()), StructField(out, StringType())])
+
+    def work(batches):
+        import pyarrow as pa
+
+        last, digest, n = None, None, 0
+        names, kinds = schema.names, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(last, kinds)), pa.array([n], pa.int64()), pa.array([digest.hexdigest()])], names)
+
+        for batch in batches:
+            kinds = [c.type for c in batch.columns[:-1]]
+            for *key, one in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != last:
+                    if last is not None:
+                        yield row()
+                    last, digest, n = key, hashlib.sha256(), 0
+                digest.update(("\n" if n else "").encode() + one.encode())
+                n += 1
+        if last is not None:
+            yield row()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "__id").mapInArrow(work, schema)
 
 
 #: Days of a directory listing that are gathered into one array.

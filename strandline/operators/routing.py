@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 # Fixed values.
 SMALL_MODEL, LARGE_MODEL = "gpt-5.6-luna", "gpt-5.6-terra"
@@ -77,25 +78,29 @@ def cost_ceiling(tasks: DataFrame, prices: DataFrame, model: str, tokens_in: str
     return sums.join(prices, model, "left").select(model, "requests", "tokens_in", "tokens_out", ceiling.alias("ceiling"))
 
 
-def pack(limits: tuple[int, int, int]) -> Callable[[Iterator[pd.DataFrame]], pd.DataFrame]:
+def pack(limits: tuple[int, int, int], schema: StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Next-fit over rows in order: a bin is closed when the next row would exceed requests, bytes or tokens."""
     most, most_bytes, most_tokens = limits
 
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ordinal", kind="stable")
-        bins, k, n, b, t = [], 0, 0, 0, 0
-        for size, tokens in zip(rows["bytes"].tolist(), rows["tokens"].tolist()):
-            if n and (n >= most or b + size > most_bytes or t + tokens > most_tokens):
-                k, n, b, t = k + 1, 0, 0, 0
-            n, b, t = n + 1, b + size, t + tokens
-            bins.append(k)
-        return rows.assign(bin=bins)[["stream", "ordinal", "bin"]]
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, k, n, b, t = None, 0, 0, 0, 0
+        for batch in batches:
+            bins = []
+            for own, size, tokens in zip(*(batch.column(j).to_pylist() for j in (0, 2, 3))):
+                if not bins and stream is None or own != stream:
+                    stream, k, n, b, t = own, 0, 0, 0, 0
+                if n and (n >= most or b + size > most_bytes or t + tokens > most_tokens):
+                    k, n, b, t = k + 1, 0, 0, 0
+                n, b, t = n + 1, b + size, t + tokens
+                bins.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bins, pa.int64())], schema.names)
 
     return work
 
 
 def pack_bins(tasks: DataFrame, stream: str, ordinal: str, size: str, tokens: str, token_cap: int, requests: int = MAX_REQUESTS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """stream, ordinal, bin. The scan is sequential within a stream by definition, so a task gets a stream's three numbers a
-    row, without the request lines; streams are independent."""
-    rows = tasks.select(F.col(stream).cast("string").alias("stream"), F.col(ordinal).cast("long").alias("ordinal"), F.col(size).cast("long").alias("bytes"), F.col(tokens).cast("long").alias("tokens"))
-    return rows.groupBy("stream").applyInPandas(pack((requests, max_bytes, token_cap)), "stream string, ordinal long, bin long")
+    """stream, ordinal, bin. Where a bin ends depends on all rows before, so a stream goes through one task, in the order of the
+    shuffle's sort: three numbers a row, without the request lines, and no more than a batch is held. Streams are independent."""
+    rows = tasks.select(F.col(stream).cast("string").alias("stream"), F.col(ordinal).alias("ordinal"), F.col(size).cast("long").alias("bytes"), F.col(tokens).cast("long").alias("tokens"))
+    schema = StructType([rows.schema["stream"], rows.schema["ordinal"], StructField("bin", LongType())])
+    return rows.repartition("stream").sortWithinPartitions("stream", "ordinal").mapInArrow(pack((requests, max_bytes, token_cap), schema), schema)

@@ -191,7 +191,7 @@ def mode_per_key(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_type, arg_max(user_id, event_id) AS user_id, coalesce(sum((prev <> user_id)::INT), 0)::BIGINT AS conflicts FROM (SELECT *, lag(user_id) OVER (PARTITION BY event_type ORDER BY event_id) AS prev FROM events) GROUP BY 1""")
 def upsert_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Last holder and changes of holder."""
-    return relational.upsert_conflicts(table(spark, d, "events"), "event_type", "user_id", "event_id")
+    return relational.upsert_conflicts(table(spark, d, "events"), "event_type", "user_id", "event_id", 2048)
 
 
 @query("""
@@ -290,7 +290,7 @@ SELECT doc_id, source, greatest(0, least(n_chars, 20000 - coalesce(sum(n_chars)
 def token_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     """A running budget per key."""
     rows = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return relational.budget_prefix(rows, "source", [F.col("doc_id")], "n_chars", 20_000, "granted").select("doc_id", "source", F.col("granted").cast("long").alias("granted"))
+    return relational.budget_prefix(rows, "source", [F.col("doc_id")], "n_chars", 20_000, "granted", F.expr("doc_id div 512")).select("doc_id", "source", F.col("granted").cast("long").alias("granted"))
 
 
 @query("""
@@ -363,7 +363,7 @@ def cache_telemetry(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderstatus, sha256(string_agg(o_orderkey::VARCHAR, chr(10) ORDER BY o_orderkey::VARCHAR)) AS ids_sha256, count(*) AS n FROM orders GROUP BY 1")
 def id_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """The fingerprint of a set of identifiers."""
-    return table(spark, d, "orders").groupBy("o_orderstatus").agg(relational.id_set_fingerprint("o_orderkey").alias("ids_sha256"), F.count("*").alias("n"))
+    return relational.id_set_fingerprints(table(spark, d, "orders"), "o_orderstatus", "o_orderkey")
 
 
 # States, metrics and checks
@@ -439,7 +439,8 @@ def top_links(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT user_id, array_to_string(list(event_type ORDER BY o), ',') AS types FROM (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY 1, 2) GROUP BY 1")
 def ordered_distinct(spark: SparkSession, d: str) -> DataFrame:
     """Distinct values in order of appearance."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.array_join(relational.ordered_distinct("event_type", "event_id"), ",").alias("types"))
+    found = relational.ordered_distinct(table(spark, d, "events"), "user_id", "event_type", "event_id", "types")
+    return found.withColumn("types", F.array_join("types", ","))
 
 
 # Texts and answers

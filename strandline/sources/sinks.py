@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -50,6 +50,22 @@ def request_parts(tasks: DataFrame, path: str, stream: str, part: str, line: str
 
 
 def manifest(tasks: DataFrame, stream: str, part: str, line: str, ids: str = "prompt_id") -> DataFrame:
-    from strandline.operators.relational import id_set_fingerprint
+    from strandline.operators.relational import id_set_fingerprints
 
-    return tasks.groupBy(stream, part).agg(F.count("*").alias("requests"), F.sum(F.octet_length(line) + 1).alias("bytes"), id_set_fingerprint(ids).alias("ids_sha256"))
+    sums = tasks.groupBy(stream, part).agg(F.count("*").alias("requests"), F.sum(F.octet_length(line) + 1).alias("bytes"))
+    return sums.join(id_set_fingerprints(tasks, [stream, part], ids).drop("n"), [stream, part])
+
+
+def rotate_backups(spark: SparkSession, path: str, keep: int = 5) -> list[str]:
+    """Copies a file or folder beside itself under the time, and deletes all but the last ``keep`` copies; returns their names."""
+    import datetime
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    source, conf = hadoop.Path(path), spark._jsc.hadoopConfiguration()
+    fs = source.getFileSystem(conf)
+    stamp = datetime.datetime.now(datetime.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
+    hadoop.FileUtil.copy(fs, source, fs, hadoop.Path(f"{path}.{stamp}.bak"), False, conf)
+    names = sorted(str(s.getPath().getName()) for s in fs.globStatus(hadoop.Path(f"{path}.*.bak")))
+    for old in names[:-keep]:
+        fs.delete(hadoop.Path(source.getParent(), old), True)
+    return names[-keep:]
