@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,11 +81,47 @@ def classify(responses: DataFrame, text: str, refusal: str, taxonomy: dict[str,
     return rows.withColumn("categories", found).withColumn("status", status).drop("__list", "__ids")
 
 
-def request_body(model: Column, system: Column, prefix: Column, body: Column, cached: Column) -> Column:
-    """JSON of a request: the user part in two pieces with a cache mark where the model family caches, else joined."""
-    free = lambda x: F.parse_json(F.to_json(x))  # noqa: E731  parts differ in shape, so they are VARIANTs
-    message = lambda role, content: free(F.struct(F.lit(role).alias("role"), content.alias("content")))
-    mark = F.struct(F.lit("text").alias("type"), prefix.alias("text"), F.struct(F.lit("ephemeral").alias("type")).alias("cache_control"))
+def response_schema(ids: Sequence[str], name: str = "categories") -> str:
+    """The response format as JSON: an object whose category_ids is a list of the given identifiers, and nothing else."""
+    items = {"type": "array", "items": {"type": "string", "enum": list(ids)}}
+    schema = {"type": "object", "properties": {"category_ids": items}, "required": ["category_ids"], "additionalProperties": False}
+    return json.dumps({"type": "json_schema", "json_schema": {"name": name, "strict": True, "schema": schema}})
+
+
+def _free(x: Column) -> Column:
+    return F.parse_json(F.to_json(x))  # parts differ in shape, so they are VARIANTs
+
+
+def request_body(model: Column, system: Column, prefix: Column, body: Column, cached: Column, *more: Column) -> Column:
+    """A request's body as VARIANT: the user part in two pieces with a cache mark where the model family caches, else joined.
+    ``more``: further fields; null ones are left out."""
+    message = lambda role, content: _free(F.struct(F.lit(role).alias("role"), content.alias("content")))
+    mark = F.struct(F.lit("text").alias("type"), prefix.alias("text"), F.struct(F.lit("explicit").alias("mode")).alias("prompt_cache_breakpoint"))
     rest = F.struct(F.lit("text").alias("type"), body.alias("text"))
-    whole = lambda user: F.to_json(F.struct(model.alias("model"), F.array(message("developer", system), message("user", user)).alias("messages")))
-    return F.when(cached, whole(F.array(free(mark), free(rest)))).otherwise(whole(F.concat(prefix, body)))
+    whole = lambda user: _free(F.struct(model.alias("model"), *more, F.array(message("developer", system), message("user", user)).alias("messages")))
+    return F.when(cached, whole(F.array(_free(mark), _free(rest)))).otherwise(whole(F.concat(prefix, body)))
+
+
+def request_line(custom_id: Column, model: Column, system: Column, prefix: Column, body: Column, temperature: float, most_tokens: int, cached: Column, cache_key: str, schema: str | None) -> Column:
+    """A line of a batch file. Models that cache get a cache key made of ``cache_key`` and the model; ``schema`` None: an answer in
+    free text, as under the older contract, which has no cache either."""
+    cached = cached if schema else F.lit(False)
+    slug = F.concat(F.lit(f"{cache_key}-"), F.regexp_replace(model, "[^a-zA-Z0-9_-]+", "-"))
+    options = F.struct(F.lit("explicit").alias("mode"), F.lit("30m").alias("ttl"))
+    more = [
+        F.lit(float(temperature)).alias("temperature"), F.lit(most_tokens).alias("max_completion_tokens"), F.lit("none").alias("reasoning_effort"),
+        (F.parse_json(F.lit(schema)) if schema else F.lit(None).cast("string")).alias("response_format"),
+        F.when(cached, slug).alias("prompt_cache_key"), F.when(cached, options).alias("prompt_cache_options"),
+    ]
+    filled = request_body(model, system, prefix, body, cached, *more)
+    return F.to_json(F.struct(custom_id.alias("custom_id"), F.lit("POST").alias("method"), F.lit("/v1/chat/completions").alias("url"), filled.alias("body")))
+
+
+def article_text(line: Column) -> Column:
+    """Text of a recorded answer about an article, in either shape: chat choices, or an output list or text."""
+    return F.coalesce(F.nullif(chat_parts(line)["text"], F.lit("")), F.nullif(body_output_text(line), F.lit("")), output_text(line, True))
+
+
+def body_output_text(line: Column) -> Column:
+    """As ``output_text`` for a batch line, whose answer is under response.body."""
+    return output_text(F.to_json(F.try_variant_get(F.try_parse_json(line), "$.response.body", "variant")), True)

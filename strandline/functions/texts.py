@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ INVALID_PREFIXES = (
     "there is no", "there's no", "i cannot", "i can't", "it appears", "it seems", "after searching", "after extensive",
 )
 CHALLENGE_MARKERS = ("Just a moment", "Enable JavaScript and cookies to continue", "cf-browser-verification", "__cf_chl", "cf-chl-", "challenge-form")
-CORPORATE = r"(?i)\b(llc|inc|corp|ltd|gmbh|s\.a\.|s\.p\.a\.|co(.,)? ltd\.?|bv|pjsc|plc|limited|ag|nv|oy|ab|sa|sarl)\b"
+CORPORATE_FORMS = ("llc", "inc", "corp", "ltd", "gmbh", "s.a.", "s.p.a.", "co ltd", "co., ltd", "bv", "pjsc", "plc", "limited", "ag", "nv", "oy", "ab", "sa", "sarl")
 
 
 def is_no_match(text: Column) -> Column:
@@ -38,14 +40,25 @@ def email_domain(address: Column) -> Column:
     return F.when(F.contains(address, F.lit("@")), F.nullif(F.lower(F.trim(F.substring_index(address, "@", -1))), F.lit("")))
 
 
-def asn_label(label: Column) -> Column:
-    return F.regexp_replace(F.trim(label), "(?i)^AS", "")
+def asn_label(label: Column, form: str = "prefix") -> Column:
+    """The number of a label, as four sources write it: ``prefix``: AS off in any case; ``letters``: all leading letters a and s
+    off; ``two``: the first two characters off; ``upper``: these only where they are AS."""
+    t = F.trim(label)
+    forms = {"prefix": F.regexp_replace(t, "(?i)^AS", ""), "letters": F.regexp_replace(t, "^[ASas]+", ""), "two": F.substring(t, 3, 1 << 30), "upper": F.when(t.startswith("AS"), F.substring(t, 3, 1 << 30)).otherwise(t)}
+    return forms[form]
 
 
 def brand(name: Column) -> Column:
-    """Name without commas, dots and corporate forms."""
-    bare = F.regexp_replace(F.regexp_replace(name, "[.,]", ""), CORPORATE, "")
-    return F.trim(F.regexp_replace(bare, "[ \t]+", " "))
+    """Name without commas, dots and words of corporate forms."""
+    forms = sorted({w for form in CORPORATE_FORMS for w in re.sub("[.,]", "", form).split()} - {"co"})
+    words = F.filter(F.split(F.regexp_replace(F.regexp_replace(name, "[.,]", ""), r"(?i)\bco ltd\b", " "), "[ \t]+"), lambda w: (w != "") & ~F.lower(w).isin(*forms))
+    return F.array_join(words, " ")
+
+
+def mentions(text: Column, name: Column) -> Column:
+    """Whether a text has a name's brand in it, case aside; a name without one is in no text."""
+    own = F.lower(brand(name))
+    return F.coalesce((own != "") & F.contains(F.lower(text), own), F.lit(False))
 
 
 def tokens(text: Column) -> Column:
@@ -86,12 +99,28 @@ def is_challenge(html: Column) -> Column:
     return F.substring(F.coalesce(html, F.lit("")), 1, 5000).rlike("|".join(CHALLENGE_MARKERS))
 
 
-def html_language(html: Column) -> Column:
-    """Two letters from the lang attribute of the html tag, else from a content-language tag, else ``en``."""
+def language_tag(tag: Column) -> Column:
+    """Two lower-case letters of a tag such as en-US or de_AT; null for anything else."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(tag)), "^([a-z]{2})(?:[-_].*)?$", 1), F.lit(""))
+
+
+def html_language(html: Column, detected: Column | None = None) -> Column:
+    """Two letters from the lang attribute of the html tag, else from a content-language tag, else what a detector found in the
+    text (a recorded column), else ``en``."""
     low = F.lower(F.coalesce(html, F.lit("")))
     tag = F.regexp_extract(low, r"<html[^>]*[ \t\n]lang=[\"']?([a-z]{2})", 1)
     meta = F.regexp_extract(low, r"content-language[\"'][^>]*content=[\"']([a-z]{2})", 1)
-    return F.coalesce(F.nullif(tag, F.lit("")), F.nullif(meta, F.lit("")), F.lit("en"))
+    return F.coalesce(F.nullif(tag, F.lit("")), F.nullif(meta, F.lit("")), *([language_tag(detected)] if detected is not None else []), F.lit("en"))
+
+
+#: Bytes of a page that are turned into text.
+HTML_BYTES = 5_000_000
+
+
+def page_text(html: Column, most: int = HTML_BYTES) -> Column:
+    """Text of a page within a cap of bytes. The patterns walk a page once, so no limit of time is needed."""
+    raw = F.coalesce(html, F.lit("")).cast("binary")
+    return strip_html(F.when(F.octet_length(raw) > most, F.regexp_replace(F.substring(raw, 1, most).cast("string"), "\ufffd+$", "")).otherwise(html))
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -100,8 +129,10 @@ def estimated_tokens(text: Column) -> Column:
 
 
 def parse_timestamp(text: Column) -> Column:
-    """ISO-8601 in UTC; null where it can't be read."""
-    return F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
+    """The strict form YYYY-MM-DDTHH:MM:SSZ, else any ISO-8601; without a zone it is UTC. Null where it can't be read."""
+    strict = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z$"), F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00")))
+    zoned = F.when(text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.regexp_replace(text, "Z$", "+00:00")).otherwise(F.concat(text, F.when(F.contains(text, F.lit(":")), F.lit("+00:00")).otherwise("T00:00:00+00:00")))
+    return F.coalesce(strict, F.try_to_timestamp(zoned))
 
 
 def parse_date(text: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 # Fixed values.
 SKIP_SCHEMES = ("chrome-error:", "about:", "data:", "file:", "javascript:")
@@ -33,6 +36,14 @@ ROOT_PAGES = ("index", "index.html", "index.htm", "home", "default.aspx", "defau
 MAIL_DOMAINS = ("gmail.com", "yahoo.com", "me.com", "hotmail.com", "lacnic.net", "ripe.net", "apnic.net", "mhs.attmail.com")
 
 
+# IPv4 blocks that aren't public, and the exceptions within them.
+SPECIAL_V4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.0.170/31", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+PUBLIC_V4 = ("192.0.0.9/32", "192.0.0.10/32")
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
@@ -168,3 +179,47 @@ def site_key(url: Column) -> Column:
     """Canonical host, else ``site_`` and ten digits of the text's SHA-1."""
     h = host(url, strip_www=True)
     return F.coalesce(h, F.concat(F.lit("site_"), F.substring(F.sha1(F.coalesce(url, F.lit(""))), 1, 10)))
+
+
+def _v4_number(address: Column) -> Column:
+    parts = F.transform(F.split(address, "\\."), lambda p: p.try_cast("long"))
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+
+
+def _within(number: Column, blocks: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for block in blocks:
+        net = ipaddress.ip_network(block)
+        found = found | number.between(int(net.network_address), int(net.broadcast_address))
+    return found
+
+
+def _each_public(addresses: pd.Series) -> pd.Series:
+    def one(text):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            return False
+        ip = ip.ipv4_mapped or ip if ip.version == 6 else ip
+        return not (ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_multicast or ip.is_reserved or ip.is_unspecified)
+
+    return addresses.map(lambda t: one(t) if isinstance(t, str) else None)
+
+
+def is_public_v4(address: Column) -> Column:
+    """Whether a dotted address is none of the special blocks; false if it isn't one."""
+    valid = address.rlike(r"^((25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(\.|$)){4}") & ~address.endswith(".")
+    n = _v4_number(address)
+    return F.coalesce(F.when(valid, ~_within(n, SPECIAL_V4) | _within(n, PUBLIC_V4)), F.lit(False))
+
+
+def with_public(df: DataFrame, addresses: str, out: str) -> DataFrame:
+    """Adds whether all recorded addresses of a host (an array) are public; an unresolved host isn't. Addresses of the new kind go
+    to Python, each distinct one once; those of the old kind are Columns."""
+    each = df.select(F.explode(addresses).alias("__a")).distinct()
+    new = F.contains("__a", F.lit(":"))
+    known = each.select("__a", F.when(new, F.pandas_udf(_each_public, BooleanType())(F.when(new, F.col("__a")))).otherwise(is_public_v4(F.col("__a"))).alias("__ok"))
+    bad = known.where(~F.coalesce("__ok", F.lit(False))).select("__a")
+    torn = df.select(F.col(addresses).alias("__all"), F.explode(addresses).alias("__a")).distinct().join(bad, "__a", "left_semi").select("__all").distinct().withColumn("__bad", F.lit(True))
+    met = df.join(torn, F.col(addresses) == F.col("__all"), "left")
+    return met.withColumn(out, (F.coalesce(F.size(addresses), F.lit(0)) > 0) & F.col("__bad").isNull()).drop("__all", "__bad")

@@ -43,6 +43,27 @@ def operational(lifetimes: DataFrame, asn: str, end: str, day: str, months: int
     return lifetimes.groupBy(asn).agg(F.max(end).alias("last")).where(F.col("last") >= cutoff).select(asn)
 
 
+def gathered(registry: DataFrame, whois: DataFrame, peering: DataFrame, located: DataFrame, info: DataFrame, national: DataFrame, preferred: str = "apnic") -> tuple[DataFrame, DataFrame]:
+    """What all sources say about the numbers of a registry: (asn, domain, source; asn, as_name, org_name).
+
+    registry: asn, rir; whois: rir, asn, domains; peering: asn, websites; located: asn, domain; info, national: (rir,) asn, as_name,
+    org, descr. A number takes the whois record of its own registry. Names come from ``info`` of its registry, for ``preferred``
+    from the national registry where that has the number.
+    """
+    from strandline.operators.registry import name_pair
+
+    own = registry.select("asn", "rir")
+    rows = own.join(whois.select("rir", "asn", "domains"), ["rir", "asn"], "left").join(peering.select("asn", "websites"), "asn", "left").join(located.select("asn", F.col("domain").alias("ip_domain")), "asn", "left")
+    said = lambda values, source: F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(urls.clean_host_first(v).alias("domain"), F.lit(source).alias("source")))
+    all_said = F.concat(said(F.col("domains"), "whois"), said(F.col("websites"), "peering"), said(F.array_compact(F.array("ip_domain")), "ip"))
+    domains = rows.select("asn", F.explode(all_said).alias("s")).select("asn", "s.domain", "s.source").where("domain is not null").distinct()
+    of = lambda df, p: df.select(*(F.col(c).alias(f"{p}_{c}") if c not in ("asn", "rir") else F.col(c) for c in df.columns))
+    met = own.join(of(info, "i"), ["rir", "asn"], "left").join(of(national, "n").withColumn("n_has", F.lit(True)), "asn", "left")
+    use = (F.col("rir") == preferred) & F.col("n_has").isNotNull()
+    pick = lambda c: F.when(use, F.col(f"n_{c}")).otherwise(F.col(f"i_{c}"))
+    return domains, met.select("asn", name_pair(pick("as_name"), pick("org"), pick("descr")).alias("p")).select("asn", "p.*")
+
+
 def fuse(candidates: DataFrame, names: DataFrame) -> DataFrame:
     """``candidates``: asn, domain, source, sld; ``names``: asn, as_name, org_name. Returns asn, domains, sources (map).
 

@@ -15,6 +15,12 @@ REGISTRY_ALIASES = {"arin": "arin", "ripencc": "ripe", "ripe": "ripe", "apnic":
 SLICE_SCHEMA = "site string, seed string, url string, kind string, mime string, warc string, record_id string, store_ref struct<record_id:string,warc:string>, store_origin string, captured_at string, length bigint"
 STORE_SCHEMA = "record_id string, warc string, url string, mime string, sha256 string, length bigint"
 OFFSET_SCHEMA = "warc string, record_id string, offset bigint, gzlen bigint"
+# Tables that effects leave behind: probes, answers, articles, mail lookups, captures.
+PROBE_SCHEMA = "clean string, variant int, reachability string, status int, final_url string, probed_at string"
+ANSWER_SCHEMA = "custom_id string, model string, contract string, response string, error string, completed_at string, job_id string"
+ARTICLE_SCHEMA = "org string, brand string, title string, url string, full_text string, qid string, redirected_to string"
+ITEM_SCHEMA = "id string, desc string, p31 array<string>, props array<string>"
+MAIL_SCHEMA = "asn string, rir string, emails array<string>, error string, queried_at string"
 EVENT_SCHEMA = "seed string, site string, status string, reason string, details string, final_url string, attempt_no int, ts string, run_id string"
 
 
@@ -65,6 +71,60 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return in_order(spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path))
 
 
+def statistics_glob(folder: str, rir: str) -> str:
+    """Where a registry's statistics are kept by convention."""
+    return f"{folder}/delegated-{ {'ripe': 'ripencc'}.get(rir, rir)}*extended*"
+
+
+def offsets(spark: SparkSession, path: str) -> DataFrame:
+    """The offset index of archives; a missing file gives no rows."""
+    return json_lines(spark, path, OFFSET_SCHEMA) if exists(spark, path) else spark.createDataFrame([], OFFSET_SCHEMA).withColumn("ordinal", F.lit(0).cast("decimal(38,0)"))
+
+
+#: Names under which a record holds its site, in this order, and its number.
+SITE_KEYS, NUMBER_KEYS = ("Website", "URL", "website", "url", "homepage"), ("asn", "ASN", "as")
+
+
+def site_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """asn, url, pos, ordinal of a mapping file in any of its shapes: an object by number (bare or under "data") whose values are
+    a URL, a list of URLs, or an object with the URL under one of SITE_KEYS or as a key with a dot; or a list of such objects
+    that name their number. pos counts a number's URLs, ordinal the numbers in the file's order; others are left out."""
+    text = "map<string,string>"  # values keep their JSON, keys their order
+    whole = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    inner = F.get_json_object("value", "$.data")
+    body = F.when(inner.startswith("{"), inner).otherwise(F.col("value"))
+    by_number = F.transform(F.map_entries(F.from_json(F.when(body.startswith("{"), body), text)), lambda e: F.struct(e["key"].alias("asn"), e["value"].alias("content")))
+    fields = lambda x: F.from_json(x, text)
+    records = F.transform(F.from_json(F.when(F.col("value").startswith("["), F.col("value")), "array<string>"), lambda x: F.struct(F.coalesce(*(F.try_element_at(fields(x), F.lit(k)) for k in NUMBER_KEYS)).alias("asn"), x.alias("content")))
+    rows = whole.select(F.posexplode(F.coalesce(by_number, records)).alias("ordinal", "e")).select("ordinal", "e.*").where("asn is not null and content is not null")
+    c = F.trim("content")
+    own = fields(F.when(c.startswith("{"), c))
+    named = F.array(*(F.try_element_at(own, F.lit(k)) for k in SITE_KEYS))
+    dotted = F.filter(F.map_keys(own), lambda k: F.contains(k, F.lit(".")) & ~k.isin(*SITE_KEYS))
+    found = F.when(c.startswith("{"), F.concat(named, dotted)).when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
+    kept = F.filter(F.transform(found, lambda u: F.trim(u)), lambda u: u.isNotNull() & (u != "") & ~u.startswith("{") & ~u.startswith("["))
+    return rows.select("ordinal", "asn", F.posexplode(kept).alias("pos", "url"))
+
+
+def site_lookups(mapping: DataFrame) -> dict[str, DataFrame]:
+    """Five tables from ``site_mapping``; of several numbers under one key the last in the file counts.
+
+    url: url key to number; host: host without port, also without www, to number, social hosts left out; expected: number to the
+    set of its hosts; seed: the first URL's key to number; sharers: that key to all numbers.
+    """
+    u = F.col("url")
+    last = lambda df, key: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("asn", F.struct("ordinal", "pos")).alias("asn"))
+    bare = urls.blank_to_null(F.lower(F.regexp_replace(F.regexp_replace(F.trim(u), "^[^:/?#]*://", ""), "/+$", "")))
+    hosts = mapping.where(~urls.under_any(u, urls.SOCIAL_DOMAINS)).select("asn", "ordinal", "pos", F.explode(F.array_distinct(F.array(urls.host(u), urls.host(u, strip_www=True)))).alias("host"))
+    seeds_ = mapping.where("pos = 0").select("asn", "ordinal", "pos", bare.alias("seed")).where("seed is not null")
+    netloc = F.regexp_replace(urls.authority(u), "^www\\.", "")
+    return {
+        "url": last(mapping.select("asn", "ordinal", "pos", urls.url_key(u).alias("url_key")), "url_key"), "host": last(hosts, "host"),
+        "expected": mapping.select("asn", netloc.alias("host")).where("host is not null").distinct().groupBy("asn").agg(F.array_sort(F.collect_list("host")).alias("hosts")),
+        "seed": last(seeds_, "seed"), "sharers": seeds_.select("seed", "asn").distinct().groupBy("seed").agg(F.array_sort(F.collect_list("asn")).alias("asns")),
+    }
+
+
 def delegated(lines: DataFrame, statuses: list[str], default_rir: str, order: Column | None = None) -> DataFrame:
     """asn, rir, cc, ordinal from the registries' statistics lines (``value``): records of type asn with a wanted status."""
     parts = F.split(F.trim("value"), "\\|")

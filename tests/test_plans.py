@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from strandline.functions import responses, texts, urls
-from strandline.operators import crawl, quality
+from strandline.operators import crawl, quality, routing
 from strandline.plans import labels, website
 from strandline.sources import readers, sinks
 
@@ -29,12 +29,27 @@ def test_reject_reasons(spark):
     assert [r.r for r in rows.select(reasons.alias("r")).collect()] == [[], ["not_organisation", "other_subject"], ["not_organisation", "no_type", "title_differs"]]
 
 
-def test_request_body(spark):
-    rows = spark.createDataFrame([("m", True), ("m", False)], "model string, cached boolean")
-    got = [json.loads(r.b) for r in rows.select(responses.request_body(F.col("model"), F.lit("sys"), F.lit("pre"), F.lit("body"), F.col("cached")).alias("b")).collect()]
-    parts = got[0]["messages"][1]["content"]
-    assert [p["text"] for p in parts] == ["pre", "body"] and "cache_control" in parts[0] and "cache_control" not in parts[1]
-    assert got[1]["messages"] == [{"role": "developer", "content": "sys"}, {"role": "user", "content": "prebody"}]
+def test_request_lines(spark):
+    models = ["gpt-5.6", "gpt-5.6-terra", "gpt-5.6-luna", "gpt-5.2"]
+    rows = spark.createDataFrame([(m,) for m in models], "model string")
+    ids = [f"C{k:03d}" for k in range(1, 98)]
+    line = lambda schema: responses.request_line(F.lit("b:1"), F.col("model"), F.lit("sys"), F.lit("pre"), F.lit("body"), 0.0, 1024, routing.is_family(F.col("model")), "own-v2", schema)
+    got = {r.model: json.loads(r.line) for r in rows.select("model", line(responses.response_schema(ids)).alias("line")).collect()}
+    for model, x in got.items():
+        b = x["body"]
+        assert (x["custom_id"], x["method"], x["url"]) == ("b:1", "POST", "/v1/chat/completions")
+        assert (b["model"], b["temperature"], b["max_completion_tokens"], b["reasoning_effort"]) == (model, 0.0, 1024, "none")
+        assert b["messages"][0] == {"role": "developer", "content": "sys"}
+        schema = b["response_format"]["json_schema"]
+        assert schema["strict"] is True and schema["schema"]["additionalProperties"] is False and schema["schema"]["properties"]["category_ids"]["items"]["enum"] == ids
+        user = b["messages"][1]["content"]
+        if model == "gpt-5.2":
+            assert user == "prebody" and "prompt_cache_key" not in b and "prompt_cache_options" not in b
+        else:
+            assert user == [{"type": "text", "text": "pre", "prompt_cache_breakpoint": {"mode": "explicit"}}, {"type": "text", "text": "body"}]
+            assert b["prompt_cache_key"] == "own-v2-" + model.replace(".", "-") and b["prompt_cache_options"] == {"mode": "explicit", "ttl": "30m"}
+    old = [json.loads(r.line)["body"] for r in rows.select(line(None).alias("line")).collect()]
+    assert all(b["messages"][1]["content"] == "prebody" and "response_format" not in b and "prompt_cache_key" not in b for b in old)
 
 
 def test_sinks(spark, tmp_path):
