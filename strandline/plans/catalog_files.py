@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import quality, registry, relational
+from strandline.operators import artifacts, quality, registry, relational
 from strandline.plans.catalog import NO_WWW, pages_with_host, query, table
 from strandline.sources import readers, scratch, sinks, warc
 from strandline.streaming import logs
@@ -185,3 +185,33 @@ def organisation_list(spark: SparkSession, d: str) -> DataFrame:
     org = F.when(F.col("c_nationkey") % 5 == 0, F.concat(F.lit("x"), "c_nationkey", F.lit("@aut-as"))).otherwise(F.concat(F.lit(" org-"), "c_nationkey"))
     rows = c.select(F.lit("asn").alias("type"), F.concat(F.lit(" as"), F.lower("c_mktsegment")).alias("asn"), org.alias("org")).union(c.select(F.lit("net"), "c_name", F.lit("ORG")))
     return registry.organisation_handles(rows)
+
+
+@query(f"""
+SELECT host, sha256(string_agg(url, chr(10) || chr(10) ORDER BY page_id) || chr(10)) AS text_sha256 FROM (SELECT {NO_WWW} AS host, url, page_id FROM pages) GROUP BY 1""")
+def site_files(spark: SparkSession, d: str) -> DataFrame:
+    """One text file a site, its pages in order."""
+    path = scratch.folder(spark, "sites")
+    sinks.site_texts(pages_with_host(spark, d).select("host", "url", "page_id"), path, "host", "url", "page_id")
+    return spark.read.option("basePath", path).text(f"{path}/*", wholetext=True).select("host", F.sha2("value", 256).alias("text_sha256"))
+
+
+@query("""
+WITH p AS (SELECT o_orderpriority || '/' || o_orderstatus || '/' || o_custkey AS prompt_id, min(o_orderkey) AS first, count(*) AS n FROM orders GROUP BY 1) SELECT prompt_id, n FROM p ORDER BY first LIMIT 200""")
+def prompt_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts in the order of their smallest number, the first of them, compressed."""
+    path = scratch.folder(spark, "prompts")
+    prompt = F.concat_ws("/", "o_orderpriority", "o_orderstatus", "o_custkey")
+    prompts = table(spark, d, "orders").groupBy(prompt.alias("prompt_id")).agg(F.collect_list(F.concat(F.lit("AS"), "o_orderkey")).alias("asns"))
+    artifacts.prompt_dump(prompts, path, 200)
+    return spark.read.schema("prompt_id string, asns array<string>").json(path).select("prompt_id", F.size("asns").cast("long").alias("n"))
+
+
+@query("SELECT DISTINCT strftime(o_orderdate, '%Y-%m-01') AS day, 'snapshot_' || strftime(o_orderdate, '%Y%m01') || '.json' AS file FROM orders")
+def snapshot_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files found by the date in their names."""
+    path = scratch.folder(spark, "snapshots")
+    months = table(spark, d, "orders").select(F.concat(F.lit("snapshot_"), F.date_format("o_orderdate", "yyyyMM"), F.lit("01.json")).alias("name")).distinct().withColumn("value", F.lit("{}"))
+    months.repartition("name").write.partitionBy("name").text(path)
+    found = readers.snapshots(spark, f"{path}/name=*")
+    return found.select(F.col("day").cast("string").alias("day"), F.regexp_extract("path", "name=([^/]*)", 1).alias("file"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from strandline.functions import responses, texts, urls
 from strandline.operators import artifacts, crawl, quality, registry, relational, routing
 from strandline.plans import labels, website
-from strandline.plans.catalog import NO_WWW, pages_with_host, query, table
+from strandline.plans.catalog import _STRIP, HOST, NO_WWW, pages_with_host, query, table
+from strandline.sources import warc
 
 # Hosts and names
 
@@ -304,3 +305,57 @@ def promotion_gate(spark: SparkSession, d: str) -> DataFrame:
     """A build is promoted only if all counters of blockers are zero."""
     counters = quality.metrics(table(spark, d, "orders"), {"negative": F.col("o_totalprice") < 0, "unknown": F.col("o_orderstatus") == "X"}).drop("n_rows")
     return quality.gate(counters).withColumn("blockers", F.array_join("blockers", "|"))
+
+
+# Forms of URLs and texts
+
+
+@query(f"""
+WITH p AS (SELECT page_id, url, CASE WHEN contains(url, '/de/') THEN '' ELSE url END AS u FROM pages)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^https?://', ''), '^www\\.', ''), '/+$', '') AS keep_path, 'http://' || {HOST} AS with_scheme, lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) AS authority,
+       CASE WHEN u = '' THEN 'site_' || left(sha1(''), 10) ELSE {NO_WWW} END AS site_key FROM p""")
+def url_forms(spark: SparkSession, d: str) -> DataFrame:
+    """further forms of a URL."""
+    u = F.col("url")
+    blank = F.when(F.contains("url", F.lit("/de/")), "").otherwise(u)
+    return table(spark, d, "pages").select("page_id", urls.clean_keep_path(u).alias("keep_path"), urls.with_scheme(urls.host(u)).alias("with_scheme"), urls.authority(u).alias("authority"), urls.site_key(blank).alias("site_key"))
+
+
+@query(rf"""
+SELECT page_id, sha256({_STRIP}) AS text_sha256, sha256(regexp_replace(regexp_replace(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), '^[ \n]+|[ \n]+$', '', 'g')) AS spaced_sha256 FROM pages""")
+def page_texts(spark: SparkSession, d: str) -> DataFrame:
+    """texts of pages under a cap of bytes, and white space in order."""
+    return table(spark, d, "pages").select("page_id", F.sha2(texts.page_text(F.col("html")), 256).alias("text_sha256"), F.sha2(texts.normalise_space(F.col("html")), 256).alias("spaced_sha256"))
+
+
+@query("""
+WITH t AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS tag FROM orders), a AS (SELECT strftime(o_orderdate, '%Y-%m') AS tag, bool_or(o_totalprice > 490000) AS m, bool_or(o_totalprice < 10000) AS c FROM orders GROUP BY 1)
+SELECT max(tag) AS tag FROM a WHERE m AND c AND tag < '2001-01'""")
+def previous_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The newest older snapshot that has both files."""
+    o = table(spark, d, "orders").withColumn("tag", F.date_format("o_orderdate", "yyyy-MM"))
+    tags = o.groupBy("tag").agg(F.bool_or(F.col("o_totalprice") > 490000).alias("has_mapping"), F.bool_or(F.col("o_totalprice") < 10000).alias("has_class"))
+    return registry.previous_pair(tags, "tag", "2001-01", explicit="none")
+
+
+@query("""
+WITH b AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_linenumber = 7 AND l_returnflag = 'A')
+SELECT l_orderkey AS host, count(*) AS files FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) WHERE l_suppkey IN (SELECT l_suppkey FROM b) GROUP BY 1""")
+def broken_hosts(spark: SparkSession, d: str) -> DataFrame:
+    """Hosts that are affected by broken files."""
+    l = table(spark, d, "lineitem")  # noqa: E741
+    error = F.when((F.col("l_quantity") > 49) & (F.col("l_linenumber") == 7) & (F.col("l_returnflag") == "A"), "truncated")
+    state = warc.health(l.select(F.col("l_suppkey").alias("warc"), error.alias("error")))
+    index = l.select(F.col("l_orderkey").alias("host"), F.col("l_suppkey").alias("warc")).distinct()
+    return index.join(state.where("not ok").select("warc"), "warc", "left_semi").groupBy("host").agg(F.count("*").alias("files"))
+
+
+@query("""
+SELECT s_nationkey AS warc, s_suppkey AS record, CASE WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) THEN 'new' ELSE 'old' END AS v FROM supplier""")
+def replaced_slices(spark: SparkSession, d: str) -> DataFrame:
+    """Broken slices scrubbed or replaced by rebuilt ones."""
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("warc"), F.col("s_suppkey").alias("record"))
+    broken = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("warc"))
+    rebuilt = s.join(broken, "warc", "left_semi").withColumn("v", F.lit("new"))
+    whole = warc.scrub(s, "warc", broken).withColumn("v", F.lit("old")).unionByName(s.join(broken, "warc", "left_semi").withColumn("v", F.lit("broken")))
+    return warc.replaced(whole, rebuilt)
