@@ -1,7 +1,13 @@
 """From documents to token ids: quality rules, exact dedup, near dedup, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
-``run`` writes each stage's result as Parquet under the shared checkpoint folder and hands the reread table to the next.
+``run`` writes each stage's result as Parquet under the shared checkpoint folder and hands the reread table to the next. A
+stage's table is deleted once the next is written, the last one when the driver ends.
+
+Rows may have null or repeated identifiers, null, empty and very long texts, and further columns; each operator's docstring says
+what becomes of them. Quality rules reject texts without words, and so null ones; of equal and of near texts one row stays,
+under the smallest identifier; a row that is mixed in twice is there twice. An empty table gives an empty table with the columns
+of ``documents`` and the token ids.
 """
 
 from __future__ import annotations
@@ -52,9 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the table ``documents`` under ``sf_dir``. A stage's table is deleted once the next is written."""
+    """The last stage's rows for the table ``documents`` under ``sf_dir``."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     path_of = lambda k: f"{folder}/{k}-{STAGES[k][0]}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
