@@ -166,7 +166,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kinds:
 
 
 def digest(found: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Counts of the base kinds and spans as texts."""
+    """Counts of the base kinds and of all spans, and spans as texts."""
     base = [n for n, k in enumerate(kinds) if k.base]
     names = F.array(*(F.lit(k.name) for k in kinds))
     written = lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))
@@ -176,7 +176,7 @@ def digest(found: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     own = F.filter("spans", lambda x: x["kind"].isin(base))
     return found.select(
         "doc_id", *counts, F.sha2(_joined(own, written).cast("binary"), 256).alias("base_sha256"),
-        _joined(F.col("spans"), written).alias("spans"), _joined(F.col("spans"), rated).alias("scores"),
+        F.size("spans").cast("long").alias("n_spans"), _joined(F.col("spans"), written).alias("spans"), _joined(F.col("spans"), rated).alias("scores"),
     )
 
 

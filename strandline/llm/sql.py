@@ -100,11 +100,11 @@ ORACLES["op9_pii"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 {''.join(_kind_sql(n, k) for n, k in enumerate(pii.KINDS))}
 al AS ({' UNION ALL '.join(f'SELECT * FROM k{n}' + ('' if k.base else f' WHERE score >= {pii.ACCEPT}') for n, k in enumerate(pii.KINDS))}),
-f AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
+f AS (SELECT r, count(*) AS n_spans, count(*) FILTER (WHERE kind = 0) AS n_email, count(*) FILTER (WHERE kind = 1) AS n_ip, count(*) FILTER (WHERE kind = 2) AS n_card, count(*) FILTER (WHERE kind = 3) AS n_phone,
              string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (WHERE kind < 4) AS base,
              string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) AS spans,
              string_agg(name || ':' || score, ',' ORDER BY s, kind) AS scores FROM al GROUP BY r)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(n_spans, 0) AS n_spans, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN f USING (r)
 """

@@ -103,3 +103,32 @@ def test_clashing_names_stay(spark, docs):
     assert out.columns == [*docs.columns, "shard_1", "slot"]
     again = byte_bpe.encode(byte_bpe.encode(docs, vocabulary(spark)), vocabulary(spark))
     assert again.columns == [*docs.columns, "ids", "ids_1"]
+
+
+TEXT_IDS = "doc_id string, text string, lang string, source string, n_chars long, digest string, shard int, fp long, C0 string, key string, m map<string,int>, when date"
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_identifiers_of_text_and_columns_without_order(spark, labels, name):
+    """Identifiers that are no numbers, and extra columns of types that can't be compared or have names of functions."""
+    import datetime
+
+    own = [(None if r[0] is None else f"id-{r[0]}", *r[1:], {"a": 1}, datetime.date(2024, 1, 1)) for r in rows()]
+    docs = spark.createDataFrame(own, TEXT_IDS).repartition(3)
+    named = labels.withColumn("doc_id", F.concat(F.lit("id-"), "doc_id"))
+    out = OPERATORS[name](spark, docs, named)
+    got = out.collect()
+    if name in SAME_ROWS:
+        assert len(got) == len(own)
+    if name in SAME_COLUMNS:
+        assert out.columns == docs.columns and len({r.text for r in got}) > 5
+
+
+@pytest.mark.parametrize("name", ["exact_drop", "simhash_drop", "rules_keep"])
+def test_every_distinct_text_survives_repeated_and_null_identifiers(spark, name):
+    """Distinct texts of distinct words, under one identifier or none, all stay; equal ones leave one."""
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(60))
+    own = [(None if k % 2 else 7, text(k // 2), "en", f"host{k}", 1) for k in range(40)] + [(None, text(0), "en", "other", 1)]
+    out = OPERATORS[name](spark, spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long"), None)
+    got = sorted(r.text for r in out.collect())
+    assert got == (sorted(r[1] for r in own) if name == "rules_keep" else sorted({r[1] for r in own}))
