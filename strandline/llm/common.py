@@ -90,20 +90,3 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
-
-
-def sql_words(text: str) -> str:
-    """DuckDB: the list of words of a text."""
-    return rf"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
-
-
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def sql_lower(text: str) -> str:
-    """DuckDB: lower-case A-Z only."""
-    return f"translate({text}, '{UPPER}', '{LOWER}')"
-
-
-def valid_name(name: str) -> bool:
-    return bool(re.fullmatch(r"[A-Za-z_]\w*", name))
