@@ -405,7 +405,7 @@ def _plain_group(m, g, one, two):
 
 def _plain_block(m, g, b, one, two):
     r = m.shape.rows
-    return _plain_factor(m.biases[1][g], [_plain_hash(one * 131_071 + g, 4) % r, _plain_hash(two * 131_071 + g, 5) % r + r], m.weights[1], b)
+    return _plain_factor(m.biases[1][g], [_plain_hash(one * 131_071 + g, 4) % r], m.weights[1], b)
 
 
 def _plain_score(m, v, place, words, count):
