@@ -400,7 +400,7 @@ def _plain_factor(bias, rows, weights, branch):
 
 def _plain_group(m, g, one, two):
     r = m.shape.rows
-    return _plain_factor(m.biases[0][0], [_plain_hash(one, 1) % r, _plain_hash(two, 2) % r + r, _plain_hash(one * 131_071 + two, 3) % r + 2 * r], m.weights[0], g)
+    return _plain_factor(m.biases[0][0], [_plain_hash(one, 1) % r, _plain_hash(two, 2) % r + r], m.weights[0], g)
 
 
 def _plain_block(m, g, b, one, two):
