@@ -87,14 +87,15 @@ def handle_chain(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH n AS (SELECT l_suppkey, arg_min(struct_pack(own := CASE WHEN l_linenumber > 3 THEN 'http://own' || l_partkey END, org := l_partkey % 25), struct_pack(a := l_orderkey, b := l_linenumber, c := l_partkey)) AS f FROM lineitem GROUP BY 1)
-SELECT l_suppkey::VARCHAR AS asn, CASE WHEN f.own IS NULL THEN '' ELSE f.own || '|' END || 'https://' || lower(n_name) || '.example' AS websites FROM n JOIN nation ON n_nationkey = f.org""")
+WITH n AS (SELECT floor(s_acctbal)::BIGINT % 40 AS asn, arg_min(struct_pack(own := CASE WHEN s_acctbal > 5000 THEN 'http://own' || s_suppkey END, org := s_nationkey), s_suppkey) AS f FROM supplier WHERE s_acctbal >= 0 GROUP BY 1)
+SELECT asn::VARCHAR AS asn, CASE WHEN f.own IS NULL THEN '' ELSE f.own || '|' END || 'https://' || lower(n_name) || '.example' AS websites FROM n JOIN nation ON n_nationkey = f.org""")
 def peering_dump(spark: SparkSession, d: str) -> DataFrame:
     """A dump with nested lists; the first network of a number counts."""
     site = F.concat(F.lit("https://"), F.lower("n_name"), F.lit(".example"))
     org = table(spark, d, "nation").select(F.struct(F.col("n_nationkey").cast("long").alias("id"), F.when(F.col("n_nationkey") < 12, F.concat(F.lit("x "), site, F.lit(" y"))).otherwise("x").alias("name"), F.when(F.col("n_nationkey") >= 12, site).otherwise("").alias("website"), F.lit("").alias("aka"), F.lit("US").alias("country")).alias("o"))
-    net = table(spark, d, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("k"), F.struct(F.col("l_suppkey").alias("asn"), (F.col("l_partkey") % 25).alias("org_id"), F.when(F.col("l_linenumber") > 3, F.concat(F.lit("http://own"), "l_partkey")).otherwise("").alias("website")).alias("n"))
-    nets = net.agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("data"))  # a dump is one object
+    own = F.when(F.col("s_acctbal") > 5000, F.concat(F.lit("http://own"), "s_suppkey")).otherwise("")
+    net = table(spark, d, "supplier").where("s_acctbal >= 0").select("s_suppkey", F.struct((F.floor("s_acctbal").cast("long") % 40).alias("asn"), F.col("s_nationkey").cast("long").alias("org_id"), own.alias("website")).alias("n"))
+    nets = net.agg(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "n"))), lambda x: x["n"]).alias("data"))  # a dump is one object, of some thousand networks
     path = scratch.folder(spark, "dump")
     org.agg(F.collect_list("o").alias("data")).select(F.struct("data").alias("org")).join(F.broadcast(nets.select(F.struct("data").alias("net")))).write.json(path)
     return readers.peering(spark, path).withColumn("websites", F.array_join("websites", "|"))
