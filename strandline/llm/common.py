@@ -90,3 +90,11 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for k in range(0, batch.num_rows, rows):
             yield batch.slice(k, rows)
+
+
+def small_batches(spark: SparkSession, rows: int = 2048) -> None:
+    """From now on at most ``rows`` rows a batch between Spark and Python in this session, so that texts held on the way take
+    little of an executor's memory. A smaller number that is set already stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
