@@ -18,29 +18,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import byte_bpe, exact_dedup, mixing, quality_rules, simhash
-from strandline.llm.common import ensure_checkpoint_dir, read_table
+from strandline.llm.common import ensure_checkpoint_dir, read_table, small_batches
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.clean_good(docs, chars="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return mixing.mix(docs, mixing.label_domains(read_table(spark, sf_dir, "labels")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of ``documents`` and the token ids."""
+    small_batches(spark)
     vocabulary = byte_bpe.share(spark, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     return byte_bpe.encode(docs, vocabulary)
 
