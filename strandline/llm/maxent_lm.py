@@ -10,7 +10,7 @@ are below that power of two, and so below 2 N / LISTED.
     P(w | context) = P(group | context) * P(block | group, context) * P(w | block, context)
 
 Groups hold words that follow the same frequent words: the counts of the ``ANCHORS`` most frequent words before each modelled
-word are gathered over a batch of the corpus, and the words are halved again and again at the median of their first principal
+word are gathered over all training documents, and the words are halved again and again at the median of their first principal
 component. Within a group, blocks are runs of words by frequency. All other tokens, unseen ones included, are in the last block
 of the group that most modelled words with their last two bytes have; there P(w) is (c + 1) over the block's mass, in which
 unseen tokens together count one. So the probabilities of the known tokens and of "unseen in this group" sum to one.
@@ -410,8 +410,7 @@ def _anchors_before(shared: Broadcast, modelled: int):
         for at, one, two in _blocks(batches, place, context):
             for c in (one, two):
                 hit = (at < k) & (c < min(k, ANCHORS))
-                cell, n = np.unique(at[hit] * ANCHORS + c[hit], return_counts=True)
-                total[cell] += n
+                np.add.at(total, at[hit] * ANCHORS + c[hit], 1)
         yield from _emit([total.reshape(k, ANCHORS)])
 
     return work
@@ -447,7 +446,7 @@ def fit(rows: DataFrame, shared: Broadcast, steps: int = STEPS) -> Model:
     spark, v = rows.sparkSession, shared.value
     shape = Shape.of(len(v.listed))
     k = min(shape.modelled, len(v.listed))
-    m = arrange(v, shape, summed(rows.where("turn = 0").select("body"), _anchors_before(shared, shape.modelled), [(k, ANCHORS)])[0])
+    m = arrange(v, shape, summed(rows.select("body"), _anchors_before(shared, shape.modelled), [(k, ANCHORS)])[0])
     for turn in range(steps):
         model = spark.sparkContext.broadcast(m)
         m.weights = update(m, summed(rows.where(F.col("turn") == turn).select("body"), _learn(shared, model), [(len(w), w.shape[1] + 1) for w in m.weights]))

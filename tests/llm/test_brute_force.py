@@ -766,3 +766,21 @@ def test_pipeline(spark, docs):
     assert kept <= single and all(r.ids == library.encode_ordinary(r.text) for r in got)
     clean = {x for x in single if quality.get(x[0]) == (1, 0)}
     assert len(clean & kept) >= 0.95 * len(clean)
+
+
+def test_lm_classes_come_from_all_training_documents(spark, monkeypatch):
+    texts = [f"the w{k % 7} of the w{k % 5} and of w{k % 3}" for k in range(60)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got, arrange = [], maxent_lm.arrange
+    monkeypatch.setattr(maxent_lm, "arrange", lambda v, shape, before: got.append((v, before)) or arrange(v, shape, before))
+    _, _, shared, _, _ = maxent_lm.prepare(docs, "doc_id", "text", 1 << 10)
+    (v, before), place = got[0], {w: k for k, w in enumerate(shared.value.listed)}
+    want = np.zeros_like(before)
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            words = [place[w] for w in maxent_lm.tokens(t.encode())]
+            for far in (1, 2):
+                for a, b in zip(words, words[far:]):
+                    if b < len(want) and a < min(len(want), maxent_lm.ANCHORS):
+                        want[b, a] += 1
+    assert (before == want).all() and want.sum() > 0
